@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from tickforge.llm import mixing, url_filter
+from tickforge.llm import chat, mixing, packing, sharding, url_filter
 
 QUERIES = {
+    "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_url_filters": url_filter.op4_url_filters,
     "op7_source_mixing": mixing.op7_source_mixing,
+    "op9_sharding": sharding.op9_sharding,
+    "op10_chat_formatting": chat.op10_chat_formatting,
 }
 ORACLES = {
     "op4_url_filters": url_filter.ORACLE,
     "op7_source_mixing": mixing.ORACLE,
+    "op10_chat_formatting": chat.ORACLE,
 }
