@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from tickforge.llm import chat, mixing, packing, sharding, url_filter
+from tickforge.llm import chat, language_id, line_dedup, mixing, packing, sharding, url_filter
 
 QUERIES = {
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_url_filters": url_filter.op4_url_filters,
+    "op5_language_id": language_id.op5_language_id,
+    "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_source_mixing": mixing.op7_source_mixing,
     "op9_sharding": sharding.op9_sharding,
     "op10_chat_formatting": chat.op10_chat_formatting,
 }
 ORACLES = {
     "op4_url_filters": url_filter.ORACLE,
+    "op6_line_dedup": line_dedup.ORACLE,
     "op7_source_mixing": mixing.ORACLE,
     "op10_chat_formatting": chat.ORACLE,
 }
