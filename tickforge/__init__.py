@@ -1,0 +1,8 @@
+"""A Spark-native engine for financial time series, and corpus operators in ``tickforge.llm``."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run on executors travel by value, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
