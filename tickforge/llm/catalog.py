@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tickforge.llm import chat, language_id, line_dedup, mixing, packing, sharding, url_filter
+from tickforge.llm import chat, language_id, line_dedup, mixing, packing, sharding, url_filter, vector_dedup, vector_search
 
 QUERIES = {
+    "op1_embedding_near_dedup": vector_dedup.op1_embedding_near_dedup,
+    "op2_nearest_neighbours": vector_search.op2_nearest_neighbours,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_url_filters": url_filter.op4_url_filters,
     "op5_language_id": language_id.op5_language_id,
