@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickforge.llm import chat, language_id, line_dedup, mixing, packing, sharding, url_filter, vector_dedup, vector_search
+from tickforge.llm import chat, language_id, line_dedup, mixing, ngram_join, packing, sharding, url_filter, vector_dedup, vector_search
 
 QUERIES = {
     "op1_embedding_near_dedup": vector_dedup.op1_embedding_near_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_language_id": language_id.op5_language_id,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_source_mixing": mixing.op7_source_mixing,
+    "op8_ngram_jaccard_join": ngram_join.op8_ngram_jaccard_join,
     "op9_sharding": sharding.op9_sharding,
     "op10_chat_formatting": chat.op10_chat_formatting,
 }
