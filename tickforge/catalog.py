@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tickforge.plans import queries
+from tickforge.plans.queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ticks = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return ticks.groupBy("event_type").agg(F.count(F.lit(1)).alias("ticks"))
+    """Dollar bars of the event ticks."""
+    return queries.dollar_bars(spark, sf_dir)
