@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 def etf_trick(rows: DataFrame, start: float = 1.0) -> DataFrame:
     """ts, value of rows (ts, asset, open, close, alloc, cost, rate); a null cost or rate is 0 or 1.
 
-    The value moves by sum h * rate * (gain + cost), where the holdings h are fixed when the weights
-    change: value * weight / sum |weight| over the next open times rate. The gain of a row after a change
-    is close less open, else the change of the close. The series starts at the second date with ``start``.
+    The value moves by sum h * rate * (gain + cost). On the row after a change of weights (the first ones
+    count as a change) the holdings h are set to value * weight / sum |weight| over the next open times
+    rate, and the gain is close less open; on others h stays and the gain is the change of the close. The series starts at the second date with ``start``.
     Per date the sums need only holdings fixed at the last change, so the dates come one by one.
     """
     w = Window.partitionBy("asset").orderBy("ts")
@@ -36,15 +36,14 @@ def etf_trick(rows: DataFrame, start: float = 1.0) -> DataFrame:
                     continue  # the first date has no change of the close
                 alloc, unit = a[:, 0], a[:, 1]
                 if first:
-                    before, changed, first = alloc, True, False
-                    held = unit * value
+                    before, first, held = np.zeros(len(row)), False, unit * value
                 else:
-                    gain = a[:, 2] if changed else a[:, 3]
-                    value += float(np.nansum(held * a[:, 5] * (gain + a[:, 4])))
-                    changed = bool((alloc != before).any())
                     if changed:
                         held = unit * value
-                    before = alloc
+                    gain = a[:, 2] if changed else a[:, 3]
+                    value += float(np.nansum(held * a[:, 5] * (gain + a[:, 4])))
+                    alloc = np.nan_to_num(alloc)
+                    changed, before = bool((alloc != before).any()), alloc
                 ts.append(t)
                 out.append(value)
             yield pd.DataFrame({"ts": ts, "value": out})

@@ -204,3 +204,70 @@ def daily_vol(df: DataFrame, lookback: int = 100, column="close") -> DataFrame:
             return {"symbol": same_key(key, int(some.sum())), "ts": ts[some], "seq": c["seq"][some], "daily_return": r[some], "daily_vol": vol[some]}
 
     return fold(df.select("symbol", "ts", "seq", column), "symbol", ["ts", "seq"], Daily, "symbol string, ts timestamp_ntz, seq long, daily_return double, daily_vol double")
+
+
+def bar_features(ticks: DataFrame, ends: DataFrame, volume_letters: dict | None = None, return_letters: dict | None = None) -> DataFrame:
+    """symbol, bar_id and the microstructural features of each bar that ends at tick number ``tick_num`` of ``ends``.
+
+    ticks: signed, with tick_num from 1. A tick belongs to the first bar that ends at or after it; later
+    ticks are left out. Means, lambdas and t values come from one aggregation; messages of tick signs (and of
+    volumes and log returns, if letters are given) are encoded per bar and their four entropies added.
+    """
+    from tickforge.operators.entropy import encode, encode_signs, entropies
+
+    marks = ends.select("symbol", F.col("tick_num").alias("_at"), F.lit(1).alias("_k"), F.col("bar_id").alias("_bar"))
+    rows = ticks.withColumns({"_at": F.col("tick_num"), "_k": F.lit(0), "_bar": F.lit(None).cast("long")})
+    blank = [F.col(c) if c in marks.columns else F.lit(None).cast(t).alias(c) for c, t in rows.dtypes]
+    ahead = Window.partitionBy("symbol").orderBy("_at", "_k").rowsBetween(0, Window.unboundedFollowing)
+    t = rows.unionByName(marks.select(*blank)).withColumn("bar_id", F.first("_bar", ignorenulls=True).over(ahead)).where("_k = 0 and bar_id is not null").drop("_at", "_k", "_bar")
+    w = ordered()
+    t = t.withColumns({"_r": log_return(F.col("price"), w)})
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("ts", "seq", F.col(c).alias("x")))), lambda s: s["x"])
+    base = t.groupBy("symbol", "bar_id").agg(
+        F.max("ts").alias("date_time"), F.avg("volume").alias("avg_tick_size"), F.sum("sign").alias("tick_rule_sum"),
+        F.try_divide(F.sum(F.col("price") * F.col("volume")), F.sum("volume")).alias("vwap"),
+        in_order("sign").alias("_signs"), in_order("volume").alias("_volumes"), in_order("_r").alias("_returns"),
+    )
+    out = base.join(trade_lambdas(t, ["symbol", "bar_id"]), ["symbol", "bar_id"], "left")
+    messages = {"tick_rule": encode_signs(F.col("_signs"))}
+    if volume_letters:
+        messages["volume"] = encode(F.col("_volumes"), volume_letters)
+    if return_letters:
+        messages["pct"] = encode(F.filter("_returns", lambda x: x.isNotNull()), return_letters)
+    for name, message in messages.items():
+        out = entropies(out.withColumn("_m", message), "_m")
+        out = out.withColumnsRenamed({k: f"{k}_entropy_{name}" for k in ("shannon", "plug_in", "lempel_ziv", "konto")}).drop("_m")
+    return out.drop("_signs", "_volumes", "_returns")
+
+
+def adf(y: np.ndarray) -> tuple[float, int]:
+    """(t value of the level, rows) of the Dickey-Fuller regression with a constant and one lag."""
+    from tickforge.operators.breaks import ols
+
+    d = np.diff(y)
+    if len(d) < 6:
+        return float("nan"), max(0, len(d) - 1)
+    x = np.stack([y[1:-1], d[:-1], np.ones(len(d) - 1)], 1)
+    beta, cov = ols(x, d[1:])
+    return float(beta[0] / np.sqrt(cov[0, 0])) if cov[0, 0] > 0 else float("nan"), len(x)
+
+
+def least_difference(df: DataFrame, threshold: float = 0.01, column: str = "close") -> DataFrame:
+    """symbol, d, adf, n, corr for d = 0, 0.1, ..., 1: the daily log closes differenced, their unit-root statistic, and
+    their correlation with the undifferenced series."""
+    daily = df.where(F.col(column) > 0).groupBy("symbol", F.to_date("ts").alias("day")).agg(F.log(F.max_by(column, F.struct("ts", "seq"))).alias("x"))
+
+    def run(key, pdf):
+        import pandas as pd
+
+        x, out = pdf.sort_values("day")["x"].to_numpy(float), []
+        for k in range(11):
+            w = np.array(ffd_weights(k / 10, threshold))
+            if len(x) >= len(w) + 6:
+                y = np.convolve(x, w, "valid")
+                t, n = adf(y)
+                c = np.corrcoef(y, x[len(w) - 1:])[0, 1] if y.std() > 0 else np.nan
+                out.append((key[0], k / 10, t, n, c))
+        return pd.DataFrame(out, columns=["symbol", "d", "adf", "n", "corr"])
+
+    return daily.groupBy("symbol").applyInPandas(run, "symbol string, d double, adf double, n long, corr double")

@@ -663,3 +663,84 @@ def online_selection(spark, sf_dir):
     quick = [s for s in online.STRATEGIES if s not in ("ftl", "ftrl", "corn_k", "scorn_k", "fcorn_k", "corn_u", "scorn", "fcorn")]
     monthly = labeling.resampled(panel(spark, sf_dir), "month")
     return online.select(monthly, quick).groupBy("strategy").agg(F.max_by("wealth", "ts").alias("wealth"), F.countDistinct("ts").alias("dates"))
+
+
+# Several instruments, features of bars, clusters and importance --------------------------------------
+
+
+@query()
+def bar_features(spark, sf_dir):
+    t = bars.signed(event_ticks(spark, sf_dir)).where("price > 0").withColumn("tick_num", F.row_number().over(ordered()).cast("long"))
+    ends = t.where(F.col("tick_num") % 20 == 0).select("symbol", "tick_num", (F.col("tick_num") / 20).cast("long").alias("bar_id"))
+    return features.bar_features(t, ends, {float(k): chr(97 + k // 10) for k in range(0, 100, 10)})
+
+
+@query()
+def least_difference(spark, sf_dir):
+    return features.least_difference(tick_bars_of(spark, sf_dir))
+
+
+def contracts(spark, sf_dir):
+    """Each priority as a contract in force for a quarter in turn; its open is the mean of the week's lower half of values."""
+    p = panel(spark, sf_dir)
+    turn = F.pmod(F.year("ts") * 4 + F.quarter("ts"), F.lit(3))
+    current = F.when(turn == 0, "1-URGENT").when(turn == 1, "2-HIGH").otherwise("5-LOW")
+    return p.select("ts", F.col("asset").alias("security"), current.alias("current_security"), (F.col("price") * 0.99).alias("open"), F.col("price").alias("close"))
+
+
+@query(f"""with {PANEL}, c as (select ts, asset as security, case when (year(ts) * 4 + quarter(ts)) % 3 = 0 then '1-URGENT' when (year(ts) * 4 + quarter(ts)) % 3 = 1 then '2-HIGH' else '5-LOW' end as cur, price * 0.99 as open, price as close from panel),
+d as (select *, lag(close) over (order by ts) as before, row_number() over (partition by security order by ts) as k from c where security = cur)
+select ts, sum(case when k = 1 and before is not null then open - before else 0 end) over (order by ts) as gap from d""")
+def futures_roll(spark, sf_dir):
+    return bars.futures_roll(contracts(spark, sf_dir))
+
+
+@query()
+def etf_trick(spark, sf_dir):
+    from tickforge.operators.etf import etf_trick as run
+
+    p = panel(spark, sf_dir)
+    n = p.select("asset").distinct().count()
+    p = p.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("ts"))).where(F.col("_n") == n)
+    sign = F.when((F.ascii("asset") + F.month("ts")) % 2 == 0, 1.0).otherwise(-0.5)
+    return run(p.select("ts", "asset", (F.col("price") * 0.99).alias("open"), F.col("price").alias("close"), sign.alias("alloc"), F.lit(None).cast("double").alias("cost"), F.lit(None).cast("double").alias("rate")))
+
+
+def embedded(spark, sf_dir, k=6):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return e.select(F.col("vec_id").alias("row_id"), *[F.element_at("embedding", j + 1).cast("double").alias(f"f{j}") for j in range(k)], (F.col("label") < 5).cast("int").alias("y"))
+
+
+@query()
+def orthogonal_features(spark, sf_dir):
+    from tickforge.operators import importance
+
+    out, value, _ = importance.orthogonal_features(embedded(spark, sf_dir), [f"f{j}" for j in range(6)], number=3)
+    return out.select("row_id", "PC_0", "PC_1", "PC_2")
+
+
+@query()
+def feature_importance(spark, sf_dir):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    from tickforge.operators import importance
+
+    names = [f"f{j}" for j in range(6)]
+    df = embedded(spark, sf_dir)
+    model = RandomForestClassifier(labelCol="y", featuresCol="features", numTrees=8, maxDepth=4, seed=1)
+    n = df.count()
+    folds = df.select((F.pmod(F.xxhash64("row_id"), F.lit(2))).cast("int").alias("h"), "row_id")
+    folds = folds.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("split"), "row_id", "h").select("split", "row_id", F.when(F.col("h") == F.col("split"), "test").otherwise("train").alias("part"))
+    mdi = importance.mean_decrease_impurity(model.fit(importance.assembled(df, names)), names)
+    mda = importance.mean_decrease_accuracy(model, df, names, "y", folds, scoring="accuracy")
+    return spark.createDataFrame([(f, *mdi[f], *mda[f], n) for f in names], "feature string, mdi double, mdi_err double, mda double, mda_err double, n long")
+
+
+@query()
+def feature_clusters(spark, sf_dir):
+    from tickforge.operators import importance
+
+    names = [f"f{j}" for j in range(6)]
+    long = embedded(spark, sf_dir).select(F.col("row_id").alias("ts"), F.explode(F.array(*[F.struct(F.lit(f).alias("asset"), F.col(f).alias("value")) for f in names])).alias("s")).select("ts", "s.*")
+    groups = importance.feature_clusters(long, "spearmans_rho", "angular", "average", 3)
+    return spark.createDataFrame([(k, f) for k, g in enumerate(groups) for f in g], "cluster int, feature string")
