@@ -64,7 +64,8 @@ def sample_counts(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     # At most ``sample`` rows a language.
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
     texts = texts.groupBy("lang", "doc_id").agg(F.min("text").alias("text"))  # of rows that share a doc_id, one
-    return texts.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # A language's sample is bounded, and is counted in one task.
+    return texts.select("lang", "text").repartition("lang").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 class Model:
