@@ -6,15 +6,16 @@ missing from a partner, so two linked sets share at least k of their e + k small
 prefixes are posted to an inverted index that is dealt by hash and handled as arrays, not rows.
 
 * Short lists (at most SHORT classes) are merged: each pair on one is counted.
-* Long lists are skipped: each member is only paired with the list's first, which ties large groups of
-  copies together at the cost of one pair a member. A pair is a candidate when it is counted at least
-  k times, less the long lists that its sets lie on, and is verified on whole sets by binary search.
+* Long lists are skipped: of their first members, the two that a set shares most with are tried, which
+  ties large groups of copies together at the cost of two pairs a set. A pair of different components
+  is a candidate when short lists count it k times, less the long lists that its sets lie on. All are
+  verified on whole sets by binary search.
 * The links found so far are closed. A long list whose members are now one component is settled. A set
   that lies on k or more unsettled long lists may still have missed a partner of the same kind: all
   such sets are searched again among themselves with their whole sets in the index (k is then the
   required overlap T), and those for which even that does not leave one short list are searched
-  directly, against blocks of each other: short lists merged, candidates kept that can still reach
-  T, long lists probed for these by binary search.
+  directly, in groups of sets that may link: short lists merged, candidates kept that can still
+  reach T, long lists probed for these by binary search.
 
 So no list is ever expanded into its pairs and no candidate is dropped. Tables of tokens travel as
 packed arrays; a shingle on very many texts adds 16 bytes a text to one of the index's parts.
@@ -27,12 +28,14 @@ an empty table gives no rows; further columns are not read.
 
 from __future__ import annotations
 
+import functools
 import heapq
+import itertools
 import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickforge.llm._common import BROADCAST_ROWS, materialize, parallelism, read
@@ -213,12 +216,13 @@ def _postings(rows):
         yield _arrow(part=pa.array(part, pa.int32()), token=blob(token), member=blob(member), name=blob(name), size=blob(size))
 
 
-#: kind 0: the classes a, b are together on v lists. kind 1: class a lies on v long lists of members b.
+#: kind 0: the classes a, b are together on v short lists. kind 1: class a lies on v long lists of members b.
+#: kind 2: class a is the first of v long lists that hold b.
 FOUND = "kind int, a long, b long, na long, nb long, v long"
 
 
 def _lists(batches, whole: bool):
-    """The lists of one part of the index: pairs of short lists and stars of long ones, counted, and the long lists."""
+    """The lists of one part of the index: pairs of short lists, counted; stars of long lists, counted; the long lists."""
     token, name, size = [], [], []
     for batch in batches:
         for row in batch.to_pylist():
@@ -243,19 +247,17 @@ def _lists(batches, whole: bool):
     far = np.flatnonzero(length > SHORT)
     begin = np.repeat(start[far], length[far])
     inside = np.arange(len(begin)) - np.repeat(np.cumsum(length[far]) - length[far], length[far]) + begin
-    pairs.append((begin[inside != begin], inside[inside != begin]))
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*pairs))
-    na, nb = size[a], size[b]
-    near = np.minimum(na, nb) * 100 >= np.maximum(na, nb) * PERCENT
-    a, b = name[a][near], name[b][near]
-    if len(a):
-        both = np.stack([a, b, na[near], nb[near]], 1)
-        order = np.lexsort((both[:, 1], both[:, 0]))
-        both = both[order]
-        cut = np.flatnonzero(np.r_[True, (both[1:, :2] != both[:-1, :2]).any(1)])
-        count = np.diff(np.r_[cut, len(both)])
-        both = both[cut]
-        yield _arrow(kind=np.zeros(len(both), np.int32), a=both[:, 0].copy(), b=both[:, 1].copy(), na=both[:, 2].copy(), nb=both[:, 3].copy(), v=count.astype(np.int64))
+    short = tuple(np.concatenate(x) for x in zip(*pairs))
+    for kind, (a, b) in ((0, short), (2, (begin[inside != begin], inside[inside != begin]))):
+        na, nb = size[a], size[b]
+        near = np.minimum(na, nb) * 100 >= np.maximum(na, nb) * PERCENT
+        if near.any():
+            both = np.stack([name[a][near], name[b][near], na[near], nb[near]], 1)
+            both = both[np.lexsort((both[:, 1], both[:, 0]))]
+            cut = np.flatnonzero(np.r_[True, (both[1:, :2] != both[:-1, :2]).any(1)])
+            count = np.diff(np.r_[cut, len(both)]).astype(np.int64)
+            a, b, na, nb = both[cut].T.copy()
+            yield _arrow(kind=np.full(len(cut), kind, np.int32), a=a, b=b, na=na, nb=nb, v=count)
     if len(far):
         # Lists of the same members are one list that counts several times.
         mark = mixed(name[inside].view(np.uint64))
@@ -329,77 +331,102 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt").mapInArrow(check, "a long, b long")
 
 
-def divide_skip(lists: list[np.ndarray], need: int, long_lists: int) -> list[tuple[int, int]]:
-    """(item, count) of every item on at least ``need`` of the sorted lists.
+def divide_skip(lists: list[np.ndarray], need: int, long_lists: int) -> tuple[np.ndarray, np.ndarray]:
+    """(items, counts): every item on at least ``need`` of the sorted lists.
 
-    All but the longest lists are merged by a heap; an item seen there at least need - long_lists
-    times is looked up in the long ones by binary search.
+    All but the longest lists are merged, by a heap, or in bulk by one sort when they are large; an item
+    seen there at least need - long_lists times is looked up in the long lists by binary search.
     """
     lists = sorted(lists, key=len)
     cut = len(lists) - min(long_lists, need - 1, len(lists))
-    counts: dict[int, int] = {}
-    heap = [(int(x[0]), k, 0) for k, x in enumerate(lists[:cut]) if len(x)]
-    heapq.heapify(heap)
-    while heap:
-        item, k, at = heap[0]
-        counts[item] = counts.get(item, 0) + 1
-        if at + 1 < len(lists[k]):
-            heapq.heapreplace(heap, (int(lists[k][at + 1]), k, at + 1))
-        else:
-            heapq.heappop(heap)
-    out = []
-    for item, n in counts.items():
-        if n >= need - (len(lists) - cut):
-            for x in lists[cut:]:
-                at = int(np.searchsorted(x, item))
-                n += at < len(x) and int(x[at]) == item
-            if n >= need:
-                out.append((item, n))
-    return out
-
-
-def direct_search(sets: DataFrame, n_sets: int, labels: DataFrame) -> DataFrame:
-    """a, b: links between sets of different components (labels: c, component), each a query to blocks of all.
-
-    Members of the largest component need not ask, as all others do.
+    short = lists[:cut]
+    if sum(map(len, short)) > 256:
+        items, counts = np.unique(np.concatenate(short), return_counts=True)
+    else:
+        merged = [(item, sum(1 for _ in run)) for item, run in itertools.groupby(heapq.merge(*(x.tolist() for x in short)))]
+        items, counts = (np.array(v, np.int64) for v in (zip(*merged) if merged else ((), ())))
+    left = len(lists) - cut
+    for x in lists[cut:]:
+        some = counts >= need - left  # what can still reach the overlap
+        items, counts = items[some], counts[some]
+        if not len(items):
+            break
+        at = np.minimum(np.searchsorted(x, items), len(x) - 1)
+        counts = counts + (x[at] == items)
+        left -= 1
+    return items[counts >= need], counts[counts >= need]
+
+
+def direct_search(sets: DataFrame) -> DataFrame:
+    """a, b: links that join different components among ``sets`` (c, component, n, tokens), by searches in groups.
+
+    With all tokens in one order, two linked sets share one of the first n - T + 1 tokens of both. Tokens
+    are ordered by the least set that has them, and sets meet in the groups of these: as the least of a
+    family leads most of its tokens, a set comes to few groups. A large group is cut into blocks, and
+    each pair of blocks is a group. In a group all members but those of its largest component are
+    queries, and links that join nothing new are left out.
     """
-    largest = [r["component"] for r in labels.groupBy("component").count().orderBy(F.desc("count"), "component").limit(1).collect()]
-    blocks, groups = max(1, math.ceil(n_sets / SEARCH_BLOCK)), max(1, math.ceil(n_sets / SEARCH_BLOCK))
-    sets = sets.join(labels, "c").select("c", "component", "n", "tokens")
-    data = sets.withColumn("block", F.pmod(F.xxhash64("c"), F.lit(blocks)).cast("int"))
-    data = data.withColumn("asker", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    asked = sets.where(F.col("component") != F.lit(largest[0] if largest else 0))
-    asked = asked.withColumn("asker", F.pmod(F.xxhash64("c", F.lit(1)), F.lit(groups)).cast("int"))
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    columns = ["block", "asker", "c", "component", "n", "tokens"]
-    data = data.select(*[F.col(x).alias(f"d_{x}") for x in columns])
-
-    def find(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [[], []]
-        if left.num_rows and right.num_rows:
-            rows = left.to_pylist()
-            tokens = [np.frombuffer(r["d_tokens"], np.uint64) for r in rows]
-            owner = np.repeat(np.arange(len(rows)), [len(t) for t in tokens])
+    def exploded(batches):
+        for batch in batches:
+            rows = batch.to_pylist()
+            token = [np.frombuffer(r["tokens"], np.uint64).view(np.int64) for r in rows]
+            size = [len(t) for t in token]
+            yield _arrow(c=np.repeat([r["c"] for r in rows], size).astype(np.int64), n=np.repeat(size, size).astype(np.int64), token=np.concatenate(token) if token else np.zeros(0, np.int64))
+
+    sets = materialize(sets.select("c", "component", "n", "tokens"))
+    rows = materialize(sets.select("c", "n", "tokens").mapInArrow(exploded, "c long, n long, token long"))
+    common = materialize(rows.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
+    rarest = Window.partitionBy("c").orderBy("m", "token")
+    rows = rows.join(common, "token", "left").withColumn("m", F.coalesce("m", F.lit(1)))
+    rows = rows.withColumn("k", F.row_number().over(rarest)).where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).where("m > 1")
+    blocks = F.ceil(F.col("m") / SEARCH_BLOCK).cast("int")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("c"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    groups = rows.select(F.col("token").alias("first"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "c").join(sets, "c")
+    groups = groups.select("first", "i", "j", "block", "c", "component", "n", "tokens")
+
+    def find(batches):
+        def one(group):
+            component = group.column("component").to_numpy()
+            names, at, size = np.unique(component, return_inverse=True, return_counts=True)
+            if len(names) < 2:
+                return
+            block, c, n = (group.column(x).to_numpy() for x in ("block", "c", "n"))
+            raw = group.column("tokens").to_pylist()
+            tokens = [np.frombuffer(x, np.uint64) for x in raw]
+            owner = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
             flat = np.concatenate(tokens)
             order = np.lexsort((owner, flat))
             flat, owner = flat[order], owner[order]
-            for q in right.to_pylist():
-                own = np.frombuffer(q["tokens"], np.uint64)
-                begin, end = np.searchsorted(flat, own), np.searchsorted(flat, own, "right")
-                lists = [owner[a:b] for a, b in zip(begin, end) if b > a]
-                need = int(required(q["n"]))
-                if len(lists) < need:
-                    continue
-                # Long lists: those over ten times the median, as many as leave one short list to merge.
-                many = sum(len(x) > 10 * np.median([len(y) for y in lists]) for x in lists)
-                for item, common in divide_skip(lists, need, max(many, need // 2)):
-                    r = rows[item]
-                    if r["d_component"] != q["component"] and 100 * common >= PERCENT * (q["n"] + r["d_n"] - common):
-                        out[0].append(q["c"])
-                        out[1].append(r["d_c"])
-        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
-
-    return data.groupBy("d_block", "d_asker").cogroup(asked.select(*columns).groupBy("block", "asker")).applyInArrow(find, "a long, b long")
+            split = group.column("i")[0].as_py() != group.column("j")[0].as_py()
+            parent = np.arange(len(names))
+            out = [[], []]
+            for q in np.flatnonzero(at != size.argmax()):
+                begin, end = np.searchsorted(flat, tokens[q]), np.searchsorted(flat, tokens[q], "right")
+                need = int(required(int(n[q])))
+                items, common = divide_skip([owner[x:y] for x, y in zip(begin, end)], need, need - 1)
+                good = 100 * common >= PERCENT * (n[q] + n[items] - common)
+                if split:
+                    good &= block[items] != block[q]
+                for k in items[good]:
+                    x, y = root(parent, at[q]), root(parent, at[k])
+                    if x != y:
+                        parent[max(x, y)] = min(x, y)
+                        out[0].append(int(c[q]))
+                        out[1].append(int(c[k]))
+            if out[0]:
+                yield _arrow(a=pa.array(out[0], pa.int64()), b=pa.array(out[1], pa.int64()))
+
+        return each_group(batches, 3, one)
+
+    parts = parallelism(sets.sparkSession)
+    return groups.repartition(parts, "first", "i", "j").sortWithinPartitions("first", "i", "j").mapInArrow(find, "a long, b long")
+
+
+def root(parent: np.ndarray, k: int) -> int:
+    while parent[k] != k:
+        parent[k] = parent[parent[k]]
+        k = parent[k]
+    return int(k)
 
 
 def _closed(links: DataFrame) -> DataFrame:
@@ -419,45 +446,71 @@ def _unsettled(found: DataFrame, labels: DataFrame, whole: bool) -> DataFrame:
     return on.where(F.col("v") >= _columns(F.col("n"), whole)).select("c")
 
 
-def _candidates(found: DataFrame, whole: bool) -> DataFrame:
-    """a, b: pairs counted k times, less the long lists of the one that lies on fewer."""
+def _stars(found: DataFrame, whole: bool) -> DataFrame:
+    """a, b: for each set, the two firsts of long lists it shares most with. They only serve to settle lists early."""
+    stars = found.where("kind = 2").groupBy("a", "b").agg(F.sum("v").alias("v"), F.min("na").alias("na"), F.min("nb").alias("nb"))
+    stars = stars.where(2 * F.col("v") >= _columns(F.least("na", "nb"), whole))
+    best = Window.partitionBy("b").orderBy(F.desc("v"), "a")
+    return materialize(stars.withColumn("k", F.row_number().over(best)).where("k <= 2").select("a", "b"))
+
+
+def _candidates(found: DataFrame, labels: DataFrame, whole: bool) -> DataFrame:
+    """a, b: pairs of different components that short lists count k times, less the long lists of the one that lies on fewer."""
     pairs = found.where("kind = 0").groupBy("a", "b").agg(F.sum("v").alias("v"), F.min("na").alias("na"), F.min("nb").alias("nb"))
     lies = materialize(found.where("kind = 1").groupBy(F.col("a").alias("c")).agg(F.sum("v").alias("w")))
     for side in ("a", "b"):
         pairs = pairs.join(lies.select(F.col("c").alias(side), F.col("w").alias(f"w{side}")), side, "left")
+        pairs = pairs.join(labels.select(F.col("c").alias(side), F.col("component").alias(f"l{side}")), side, "left")
     skipped = F.least(F.coalesce("wa", F.lit(0)), F.coalesce("wb", F.lit(0)))
     need = F.greatest(F.lit(1), _columns(F.least("na", "nb"), whole) - skipped)
-    return materialize(pairs.where(F.col("v") >= need).select("a", "b"))
+    apart = F.coalesce("la", "a") != F.coalesce("lb", "b")
+    return materialize(pairs.where((F.col("v") >= need) & apart).select("a", "b"))
+
+
+def joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """c, component after ``links`` (a, b) have been added to the components of ``labels``."""
+    if labels is None:
+        return _closed(links)
+    for side in ("a", "b"):
+        links = links.join(labels.select(F.col("c").alias(side), F.col("component").alias(f"l{side}")), side, "left")
+    tops = materialize(links.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b").distinct())
+    if not tops.limit(1).count():
+        return labels
+    new = _closed(tops)
+    moved = labels.join(new.select(F.col("c").alias("component"), F.col("component").alias("top")), "component", "left")
+    moved = moved.select("c", F.coalesce("top", "component").alias("component"))
+    return materialize(moved.unionByName(new.join(labels, "c", "left_anti")))
 
 
 def link_classes(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """c, component for the classes that link with another. sets: document_sets(docs), materialised."""
     classes = materialize(sets.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")))
     postings = classes.agg(F.sum("n")).first()[0] or 0
-    found = materialize(index_pass(docs, postings // 3, whole=False))
-    pairs = _candidates(found, False)
     reps = classes.select("doc_id", "c")
 
-    def sets_of(names: DataFrame) -> DataFrame:
-        names = materialize(names.distinct())
+    def sets_of(*pairs: DataFrame) -> DataFrame:
+        names = [p.select(F.col(side).alias("c")) for p in pairs for side in p.columns]
+        names = materialize(functools.reduce(DataFrame.union, names).distinct())
         names = F.broadcast(names) if names.count() <= 10 * BROADCAST_ROWS else names
         return materialize(whole_sets(docs, reps.join(names, "c", "left_semi").where("doc_id is not null")))
 
-    links = materialize(verified(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("c")))))
-    labels = _closed(links)
+    def linked(found: DataFrame, labels: DataFrame | None, sets, whole: bool) -> DataFrame:
+        stars = _stars(found, whole)
+        labels = joined(labels, verified(stars, sets or sets_of(stars)))
+        pairs = _candidates(found, labels, whole)
+        return joined(labels, verified(pairs, sets or sets_of(pairs)))
+
+    found = materialize(index_pass(docs, postings // 3, whole=False))
+    labels = linked(found, None, None, False)
     again = materialize(_unsettled(found, labels, False))
     if again.limit(1).count():
         rest = sets_of(again)
         found = materialize(index_pass(rest, rest.agg(F.sum("n")).first()[0] or 0, whole=True))
-        pairs = _candidates(found, True)
-        links = materialize(links.unionByName(verified(pairs, rest)))
-        labels = _closed(links)
+        labels = linked(found, labels, rest, True)
         last = materialize(_unsettled(found, labels, True))
-        n = last.count()
-        if n:
+        if last.limit(1).count():
             named = last.join(labels, "c", "left").select("c", F.coalesce("component", "c").alias("component"))
-            links = links.unionByName(direct_search(rest.join(last, "c", "left_semi"), n, materialize(named)))
-            labels = _closed(links)
+            labels = joined(labels, direct_search(rest.join(named, "c")))
     return labels
 
 
