@@ -375,13 +375,16 @@ def direct_search(sets: DataFrame) -> DataFrame:
 
     sets = materialize(sets.select("c", "component", "n", "tokens"))
     rows = materialize(sets.select("c", "n", "tokens").mapInArrow(exploded, "c long, n long, token long"))
-    common = materialize(rows.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
-    rarest = Window.partitionBy("c").orderBy("m", "token")
-    rows = rows.join(common, "token", "left").withColumn("m", F.coalesce("m", F.lit(1)))
-    rows = rows.withColumn("k", F.row_number().over(rarest)).where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).where("m > 1")
-    blocks = F.ceil(F.col("m") / SEARCH_BLOCK).cast("int")
+    firsts = rows.groupBy("token").agg(F.min("c").alias("first"))
+    rows = rows.join(firsts, "token")
+    leading = Window.partitionBy("c").orderBy("first", "token")
+    rows = rows.withColumn("k", F.row_number().over(leading)).where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)
+    rows = materialize(rows.select("first", "c").distinct())
+    sizes = materialize(rows.groupBy("first").agg(F.ceil(F.count(F.lit(1)) / SEARCH_BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("m")).where("m > 1"))
+    rows = rows.join(sizes, "first")
+    blocks = F.col("blocks")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("c"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    groups = rows.select(F.col("token").alias("first"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "c").join(sets, "c")
+    groups = rows.select("first", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "c").join(sets, "c")
     groups = groups.select("first", "i", "j", "block", "c", "component", "n", "tokens")
 
     def find(batches):
