@@ -20,7 +20,7 @@ def signal(prob: Column, classes: int, side: Column | None = None) -> Column:
 
 def discrete(size: Column, step: float) -> Column:
     """Rounded half-even to multiples of step, between -1 and 1."""
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.bround(size / step) * step))
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.bround(size / step) * step + 0.0))
 
 
 def average_active(signals: DataFrame) -> DataFrame:

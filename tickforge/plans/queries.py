@@ -60,6 +60,21 @@ def full(agg: str, x: str, n: int) -> str:
     return f"case when count({x}) {last_n(n)} >= {n} then {agg}({x}) {last_n(n)} end"
 
 
+def normal_cdf_sql(z: str) -> str:
+    """The expression of functions.rolling.normal_cdf, as SQL."""
+    def poly(coefficients):
+        out = repr(coefficients[0])
+        for c in coefficients[1:]:
+            out = f"({out} * abs({z}) + {c!r})"
+        return out
+
+    top = poly([3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376])
+    low = poly([8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752])
+    tail = f"(abs({z}) + 1 / (abs({z}) + 2 / (abs({z}) + 3 / (abs({z}) + 4 / (abs({z}) + 0.65)))))"
+    upper = f"case when abs({z}) > 37 then 0.0::double when abs({z}) < 7.07106781186547 then exp(-{z} * {z} / 2) * {top} / {low} else exp(-{z} * {z} / 2) / {tail} / 2.506628274631 end"
+    return f"(case when {z} > 0 then 1 - ({upper}) else ({upper}) end)"
+
+
 # Bars ------------------------------------------------------------------------------------------------
 
 COLUMNS = ["symbol", "bar_id", "date_time", "tick_num", "open", "high", "low", "close", "volume", "cum_buy_volume", "cum_ticks", "cum_dollar_value"]
@@ -101,7 +116,16 @@ def dollar_bars(spark, sf_dir):
     return bars.standard_bars(event_ticks(spark, sf_dir), "dollar", 100000.0).select(*COLUMNS)
 
 
-@query()
+@query(f"""with recursive {SIGNED}, half as (select min(ts) as a, min(ts) + (max(ts) - min(ts)) / 2 as m from ticks),
+thr as (select s.*, case when ts >= half.m then 50000.0 else 100000.0 end as t from signed s, half),
+walk(symbol, k, bar_id, acc, t) as (
+  select distinct symbol, 0::bigint, 0::bigint, 0::double, 1e18::double from thr
+  union all
+  select s.symbol, s.tick_num, case when w.acc >= w.t then w.bar_id + 1 else w.bar_id end, case when w.acc >= w.t then 0 else w.acc end + s.price * s.volume, s.t::double
+  from walk w join thr s on s.symbol = w.symbol and s.tick_num = w.k + 1),
+closed as (select symbol, bar_id from walk where acc >= t),
+placed as (select s.*, w.bar_id from signed s join walk w on w.symbol = s.symbol and w.k = s.tick_num join closed c on c.symbol = w.symbol and c.bar_id = w.bar_id)
+{summary('placed', 'bar_id')}""")
 def dollar_bars_stepped(spark, sf_dir):
     t = event_ticks(spark, sf_dir)
     steps = t.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).select(F.explode(F.array(
@@ -293,7 +317,8 @@ def vpin(spark, sf_dir):
     return features.with_vpin(tick_bars_of(spark, sf_dir), 5).select("symbol", "ts", "seq", "vpin")
 
 
-@query()
+@query(f"""with {BARS}, x as (select *, close - lag(close) {W} as d from b), z as (select *, d / nullif({full('stddev_samp', 'd', 20)}, 0) as z from x)
+select symbol, ts, seq, volume * {normal_cdf_sql('z')} as bvc_buy_volume from z""")
 def bulk_volume(spark, sf_dir):
     return features.with_bulk_volume(tick_bars_of(spark, sf_dir)).select("symbol", "ts", "seq", "bvc_buy_volume")
 
@@ -395,7 +420,10 @@ def gpr_distances(spark, sf_dir):
     return codependence.gpr_distance(r, 0.5).join(codependence.gnpr_distance(r, 0.5, 0.05), ["a", "b"])
 
 
-@query()
+@query(f"""with {RET}, k as (select a, b, rank() over (partition by a, b order by x) + (count(*) over (partition by a, b, x) - 1) / 2 as rx,
+  rank() over (partition by a, b order by y) + (count(*) over (partition by a, b, y) - 1) / 2 as ry from pr),
+c as (select a, b, corr(rx, ry) as v from k group by a, b), full_c as (select a, b, v from c union all select b, a, v from c union all select asset, asset, 1.0 from (select distinct asset from ret))
+select a as i, b as j, sqrt((1 - round(v, 5)) / 2) as value from full_c""")
 def dependence_distances(spark, sf_dir):
     return codependence.distance_matrix(codependence.dependence_matrix(rets(spark, sf_dir), "spearmans_rho"))
 
@@ -490,7 +518,12 @@ def purged_folds(spark, sf_dir):
     return sampling.purged_folds(info_rows(spark, sf_dir), 5, 1, 0.01)
 
 
-@query()
+@query(f"""with {INFO}, n as (select count(*) as n from info), f as (select unnest(range(5)) as k),
+bd as (select k, k * (n // 5) + least(k, n % 5) as a, (k + 1) * (n // 5) + least(k + 1, n % 5) as z, n from f, n),
+iv as (select k, a, z, (select t1 from info where row_id = a) as lo, (select t1 from info where row_id = least(n - 1, z - 1 + case when z < n then floor(n * 0.01)::bigint else 0 end)) as hi from bd),
+pr as (select row_number() over (order by x.k, y.k) - 1 as split, x.a as a1, x.z as z1, x.lo as lo1, x.hi as hi1, y.a as a2, y.z as z2, y.lo as lo2, y.hi as hi2 from iv x join iv y on x.k < y.k),
+m as (select split, case when row_id between a1 and z1 - 1 or row_id between a2 and z2 - 1 then 'test' when not (t0 <= hi1 and t1 >= lo1) and not (t0 <= hi2 and t1 >= lo2) then 'train' end as part from pr, info)
+select split::int as split, part, count(*) as count from m where part is not null group by split, part""")
 def combinatorial_folds(spark, sf_dir):
     return sampling.purged_folds(info_rows(spark, sf_dir), 5, 2, 0.01).groupBy("split", "part").count()
 
@@ -506,7 +539,9 @@ def bets(spark, sf_dir):
 BETS = f"{BARS}, bets as (select ts as t0, ts + interval 1 day as t1, ((seq * 37) % 100) / 100.0::double as prob, case when seq % 3 = 0 then -1.0 else 1.0 end::double as side from b)"
 
 
-@query()
+@query(f"""with {BETS}, z as (select *, case when prob * (1 - prob) > 0 then (prob - 0.5) / sqrt(prob * (1 - prob)) end as z from bets),
+g as (select t0, side * case when prob >= 1 then 1.0 when prob <= 0 then -1.0 else 2 * {normal_cdf_sql('z')} - 1 end as x from z)
+select t0, greatest(-1.0, least(1.0, round_even(x / 0.1, 0) * 0.1 + 0.0)) as size from g""")
 def probability_bets(spark, sf_dir):
     return bet_sizing.probability_sizes(bets(spark, sf_dir), 2, 0.1)
 
@@ -581,7 +616,13 @@ def return_ratios(spark, sf_dir):
     return backtest.ratios(held(spark, sf_dir), 52, 0.0, 0.001)
 
 
-@query()
+@query(f"""with {HELD}, r as (select * from held where ret is not null),
+s as (select symbol, sum(ret) as ta, sum(ret * ret) as qa, count(*) as na, sum(case when ret >= 0 then ret end) as tp, sum(case when ret >= 0 then ret * ret end) as qp, count(case when ret >= 0 then 1 end) as np,
+  sum(case when ret < 0 then ret end) as tm, sum(case when ret < 0 then ret * ret end) as qm, count(case when ret < 0 then 1 end) as nm from r group by symbol),
+c as (select symbol, date_trunc('month', ts) as u, count(*) as n from r group by all),
+g as (select symbol, sum(n) as t, sum(n * n) as q, date_diff('month', min(u), max(u)) + 1 as k from c group by symbol)
+select s.symbol, case when na > 2 then (qa / (ta * ta) - 1 / na) / (1 - 1 / na) end as all_bets, case when np > 2 then (qp / (tp * tp) - 1 / np) / (1 - 1 / np) end as positive,
+  case when nm > 2 then (qm / (tm * tm) - 1 / nm) / (1 - 1 / nm) end as negative, case when k > 2 then (q / (t * t) - 1 / k) / (1 - 1 / k) end as in_time from s join g using (symbol)""")
 def bets_concentration(spark, sf_dir):
     return backtest.bets_concentration(held(spark, sf_dir).where("ret is not null"))
 
@@ -615,12 +656,20 @@ def semi_covariance(spark, sf_dir):
     return portfolio.covariance(portfolio.returns(panel(spark, sf_dir)), "semi")
 
 
-@query()
+@query(f"""with {RET}, r2 as (select * from ret where value is not null),
+p as (select a.ts, a.asset as i, b.asset as j, a.value as x, b.value as y from r2 a join r2 b on a.ts = b.ts and a.asset <= b.asset),
+q as (select i, j, (x - avg(x) over (partition by i, j)) * (y - avg(y) over (partition by i, j)) as p, pow(1 - 2.0 / 61, row_number() over (partition by i, j order by ts desc) - 1) as w from p)
+select i, j, sum(p * w) / sum(w) as value from q group by i, j""")
 def exponential_covariance(spark, sf_dir):
     return portfolio.covariance(portfolio.returns(panel(spark, sf_dir)), "exponential")
 
 
-@query()
+@query(f"""with {RET}, r2 as (select ts, asset, value as r, row_number() over (partition by asset order by value) as k, count(*) over (partition by asset) as n,
+  max(value) over (partition by asset order by ts) - value as fall from ret where value is not null),
+m as (select *, max(fall) over (partition by asset order by ts) as most from r2),
+o as (select *, row_number() over (partition by asset order by most) as q from m),
+v as (select *, max(case when k = ceil(0.05 * (n - 1) - 1e-9) + 1 then r end) over (partition by asset) as v, max(case when q = ceil(0.95 * (n - 1) - 1e-9) + 1 then most end) over (partition by asset) as c from o)
+select asset, max(v) as var, avg(case when r < v then r end) as shortfall, avg(case when most >= c then most end) as cdar from v group by asset""")
 def portfolio_risk(spark, sf_dir):
     return portfolio.risk_metrics(portfolio.returns(panel(spark, sf_dir)))
 
