@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from tickforge.llm import catalog, chat, language_id, line_dedup, mixing, ngram_join, packing, sharding, url_filter, vector_dedup, vector_search
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
-SEQUENTIAL = {"op4_url_filters", "op6_line_dedup", "op7_source_mixing", "op10_chat_formatting"}
 
 
 def words(n, seed, vocab=400):
@@ -24,7 +23,7 @@ def documents(spark, texts, **more):
     return spark.createDataFrame(rows, DOC)
 
 
-@pytest.mark.parametrize("name", sorted(SEQUENTIAL))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_equals_sql(name, spark, sf, same_as_sql):
     same_as_sql(catalog.QUERIES[name](spark, sf).toPandas(), catalog.ORACLES[name])
 

@@ -94,3 +94,23 @@ def lower_ascii(c: Column) -> Column:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+class Shared:
+    """A broadcast of one object or a list of objects of this package, as plain attributes, for executors that cannot import it."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.many = isinstance(value, list)
+        self.kind = None if value is None else type(value[0]) if self.many else type(value)
+        held = None if value is None else [v.__dict__ for v in (value if self.many else [value])]
+        self.held = spark.sparkContext.broadcast(held)
+
+    def get(self):
+        if self.kind is None:
+            return None
+        out = []
+        for attributes in self.held.value:
+            x = self.kind.__new__(self.kind)
+            x.__dict__.update(attributes)
+            out.append(x)
+        return out if self.many else out[0]

@@ -17,8 +17,10 @@ QUERIES = {
     "op10_chat_formatting": chat.op10_chat_formatting,
 }
 ORACLES = {
+    "op1_embedding_near_dedup": vector_dedup.ORACLE,
     "op4_url_filters": url_filter.ORACLE,
     "op6_line_dedup": line_dedup.ORACLE,
     "op7_source_mixing": mixing.ORACLE,
+    "op8_ngram_jaccard_join": ngram_join.ORACLE,
     "op10_chat_formatting": chat.ORACLE,
 }

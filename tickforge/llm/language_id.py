@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickforge.llm._common import read
+from tickforge.llm._common import Shared, read
 
 ORDER, SAMPLE, FOLDS = 3, 250, 5
 PAD = b"\n" * ORDER
@@ -173,10 +173,10 @@ def has_letter(text: str) -> bool:
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score, bits (per byte, under the language predicted)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
 
     def predict(batches):
-        model = shared.value
+        model = shared.get()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
@@ -201,11 +201,11 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: Model | None, min_score: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose text has a language with a posterior of at least min_score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
     place = docs.columns.index("text")
 
     def kept(batches):
-        model = shared.value
+        model = shared.get()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)

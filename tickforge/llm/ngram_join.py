@@ -533,3 +533,24 @@ def join_documents(docs: DataFrame) -> DataFrame:
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_documents(read(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') as ws
+  from documents),
+sh as (
+  select distinct doc_id, unnest(case when len(ws) >= 5
+    then list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+    when len(ws) > 0 then [array_to_string(ws, ' ')] else []::varchar[] end) as s
+  from w),
+n as (select doc_id, count(*) as n from sh group by doc_id),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as k from sh a join sh b on a.s = b.s and a.doc_id <> b.doc_id group by all),
+links as (
+  select c.a, c.b from common c join n x on x.doc_id = c.a join n y on y.doc_id = c.b where 100 * c.k >= 75 * (x.n + y.n - c.k)),
+reach(id, other) as (
+  select doc_id, doc_id from w union select r.id, l.b from reach r join links l on l.a = r.other)
+select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, m.component_id
+from w left join n using (doc_id) join (select id, min(other) as component_id from reach group by id) m on m.id = w.doc_id
+"""

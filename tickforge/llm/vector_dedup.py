@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickforge.llm._common import materialize, parallelism, read
+from tickforge.llm._common import Shared, materialize, parallelism, read
 from tickforge.llm.components import components
 from tickforge.llm.vectors import each_group, matrix, usable
 
@@ -110,14 +110,15 @@ def forest_links(vectors: DataFrame, total: int, threshold: float = THRESHOLD, t
     share = min(1.0, SAMPLE / max(1, total))
     picked = vectors if share == 1 else vectors.where(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)))
     sample = _unit(matrix(picked.select("vec").toArrow().column(0))) if depth else np.zeros((0, 1))
-    shared = spark.sparkContext.broadcast([Tree(sample, depth, np.random.default_rng([seed, k])) for k in range(trees)])
+    shared = Shared(spark, [Tree(sample, depth, np.random.default_rng([seed, k])) for k in range(trees)])
 
     def route(batches):
+        forest = shared.get()
         for b in batches:
             if not b.num_rows:
                 continue
             x = _unit(matrix(b.column(1)))
-            for k, tree in enumerate(shared.value):
+            for k, tree in enumerate(forest):
                 rows, leaf = tree.leaves(x)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(leaf * trees + k), b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows))], names=["leaf", "vec_id", "vec"]
@@ -202,3 +203,22 @@ def dedup_vectors(table: DataFrame, threshold: float = THRESHOLD, trees: int = T
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_vectors(read(spark, sf_dir, "embeddings"))
+
+
+#: Exact: on small tables the forest's leaves hold every linked pair.
+ORACLE = """
+with recursive v as (
+  select vec_id, min(embedding::double[]) as e from embeddings where vec_id is not null group by vec_id),
+good as (
+  select vec_id, e from v where e is not null and len(e) > 0
+    and len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+links as (
+  select a.vec_id as a, b.vec_id as b from good a join good b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(id, other) as (
+  select vec_id, vec_id from v union select r.id, l.b from reach r join links l on l.a = r.other),
+least as (select id, min(other) as component_id from reach group by id),
+counts as (select a, count(*) as n from links group by a)
+select l.id as vec_id, coalesce(c.n, 0)::bigint as n_links, l.component_id, l.component_id = l.id as kept
+from least l left join counts c on c.a = l.id
+"""
