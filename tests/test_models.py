@@ -104,3 +104,14 @@ def test_drop_labels_and_purge(spark):
         assert set(g[g["part"] == "test"]["row_id"]) == set(range(5 * k, 5 * k + 5))
         lo, hi = 5 * k + 2, 5 * k + 4 + 2
         assert set(g[g["part"] == "train"]["row_id"]) == {r for r in range(20) if not (5 * k <= r < 5 * k + 5) and not (r <= hi and r + 2 >= lo)}
+
+
+def test_slots_change_nothing(spark, sf):
+    from tickforge.plans.queries import intervals
+
+    labels, close = (x.cache() for x in intervals(spark, sf))
+    for f in (sampling.concurrency, sampling.average_uniqueness, sampling.weights_by_return):
+        a, b = (f(close, labels, s).toPandas() for s in (None, 86_400 * 3))
+        order = list(a.columns[:2])
+        a, b = (x.sort_values(order).reset_index(drop=True) for x in (a, b))
+        pd.testing.assert_frame_equal(a, b, check_dtype=False, rtol=1e-9)

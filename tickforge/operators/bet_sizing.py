@@ -5,9 +5,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickforge.functions.prefix import running_sum
 from tickforge.functions.rolling import normal_cdf
 
 
@@ -31,8 +32,7 @@ def average_active(signals: DataFrame) -> DataFrame:
     start = signals.select(F.col("t0").alias("ts"), F.lit(1).alias("n"), F.col("signal").alias("s"))
     end = signals.where("t1 is not null").select(F.col("t1").alias("ts"), F.lit(-1).alias("n"), (-F.col("signal")).alias("s"))
     steps = start.unionByName(end).groupBy("ts").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    w = Window.orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)  # one row a time
-    steps = steps.withColumns({"c": F.sum("n").over(w), "t": F.sum("s").over(w)})
+    steps = running_sum(steps, [], "ts", [], {"c": "n", "t": "s"})
     return steps.select("ts", F.when(F.col("c") > 0, F.col("t") / F.col("c")).otherwise(0.0).alias("signal"))
 
 
@@ -99,8 +99,7 @@ def concurrent_sides(events: DataFrame) -> DataFrame:
     start = events.select(F.col("t0").alias("ts"), up.alias("u"), down.alias("d"), F.lit(1).alias("starts"))
     end = events.where("t1 is not null").select(F.col("t1").alias("ts"), (-up).alias("u"), (-down).alias("d"), F.lit(0).alias("starts"))
     steps = start.unionByName(end).groupBy("ts").agg(F.sum("u").alias("u"), F.sum("d").alias("d"), F.max("starts").alias("starts"))
-    w = Window.orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    steps = steps.withColumns({"active_long": F.sum("u").over(w), "active_short": F.sum("d").over(w)})
+    steps = running_sum(steps, [], "ts", [], {"active_long": "u", "active_short": "d"})
     return steps.where("starts = 1").select(F.col("ts").alias("t0"), "active_long", "active_short")
 
 

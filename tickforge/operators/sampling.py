@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickforge.functions.prefix import running_last, running_sum
 from tickforge.functions.rolling import log_return, ordered
 
 
@@ -17,26 +18,29 @@ def _closed(labels: DataFrame, close: DataFrame) -> DataFrame:
     return labels.join(last, "symbol").withColumn("t1", F.coalesce("t1", "_end")).drop("_end")
 
 
-def concurrency(close: DataFrame, labels: DataFrame) -> DataFrame:
-    """symbol, ts, n: how many labels are open at each row, ends included. A sweep: +1 at starts, -1 after ends."""
+def concurrency(close: DataFrame, labels: DataFrame, slot: int | None = None) -> DataFrame:
+    """symbol, ts, n: how many labels are open at each row, ends included. A sweep: +1 at starts, -1 after ends.
+
+    slot: here and below, seconds of the time slots in which a symbol is cut when one symbol may hold
+    much of the data; by default a symbol is one window.
+    """
     e = _closed(labels, close)
     at = lambda c, kind, step: e.select("symbol", F.col(c).alias("ts"), F.lit(kind).alias("k"), F.lit(step).alias("s"))
     rows = close.select("symbol", "ts", F.lit(1).alias("k"), F.lit(0).alias("s")).distinct()
     both = at("t0", 0, 1).unionByName(rows).unionByName(at("t1", 2, -1))
-    w = Window.partitionBy("symbol").orderBy("ts", "k").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("n", F.sum("s").over(w)).where("k = 1").select("symbol", "ts", "n")
+    return running_sum(both, ["symbol"], "ts", ["k"], {"n": "s"}, slot).where("k = 1").select("symbol", "ts", "n")
 
 
-def _between(labels: DataFrame, rows: DataFrame, value: str, out: str) -> DataFrame:
+def _between(labels: DataFrame, rows: DataFrame, value: str, out: str, slot: int | None = None) -> DataFrame:
     """Adds the sum and number of ``value`` over the rows (symbol, ts) in [t0, t1], from prefix sums met by two as-of sweeps."""
-    w = Window.partitionBy("symbol").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    pre = rows.select("symbol", "ts", F.struct(F.sum(F.coalesce(value, F.lit(0.0))).over(w).alias("s"), F.count(F.lit(1)).over(w).alias("n")).alias("p"))
+    pre = rows.select("symbol", "ts", F.coalesce(value, F.lit(0.0)).alias("_x"), F.lit(1).alias("_one"))
+    pre = running_sum(pre, ["symbol"], "ts", [], {"s": "_x", "n": "_one"}, slot)
+    pre = pre.select("symbol", "ts", F.struct(F.col("s").cast("double").alias("s"), F.col("n").cast("long").alias("n")).alias("p"))
 
     def as_of(e: DataFrame, at: str, strict: bool, name: str) -> DataFrame:
         left = e.select("*", F.col(at).alias("_at"), F.lit(0 if strict else 2).alias("_k"), F.lit(None).cast("struct<s:double,n:bigint>").alias("_p"))
         right = pre.select(*[F.col(c) if c == "symbol" else F.lit(None).cast(t).alias(c) for c, t in e.dtypes], F.col("ts").alias("_at"), F.lit(1).alias("_k"), F.col("p").alias("_p"))
-        sweep = Window.partitionBy("symbol").orderBy("_at", "_k").rowsBetween(Window.unboundedPreceding, 0)
-        both = left.unionByName(right).withColumn("_v", F.last("_p", ignorenulls=True).over(sweep)).where("_k <> 1")
+        both = running_last(left.unionByName(right), ["symbol"], "_at", ["_k"], "_p", "_v", slot).where("_k <> 1")
         zero = F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n"))
         return both.select(*e.columns, F.coalesce("_v", zero).alias(name))
 
@@ -44,18 +48,18 @@ def _between(labels: DataFrame, rows: DataFrame, value: str, out: str) -> DataFr
     return e.withColumns({f"{out}_sum": F.col("_until.s") - F.col("_before.s"), f"{out}_n": F.col("_until.n") - F.col("_before.n")}).drop("_before", "_until")
 
 
-def average_uniqueness(close: DataFrame, labels: DataFrame) -> DataFrame:
+def average_uniqueness(close: DataFrame, labels: DataFrame, slot: int | None = None) -> DataFrame:
     """symbol, label_id, uniqueness: the mean of 1 / concurrency over the label's rows."""
-    rows = concurrency(close, labels).where("n > 0").withColumn("inverse", 1 / F.col("n"))
-    e = _between(_closed(labels, close).select("symbol", "label_id", "t0", "t1"), rows, "inverse", "u")
+    rows = concurrency(close, labels, slot).where("n > 0").withColumn("inverse", 1 / F.col("n"))
+    e = _between(_closed(labels, close).select("symbol", "label_id", "t0", "t1"), rows, "inverse", "u", slot)
     return e.select("symbol", "label_id", F.try_divide("u_sum", "u_n").alias("uniqueness"))
 
 
-def weights_by_return(close: DataFrame, labels: DataFrame) -> DataFrame:
+def weights_by_return(close: DataFrame, labels: DataFrame, slot: int | None = None) -> DataFrame:
     """symbol, label_id, weight: |sum of log returns over concurrency|, scaled so that a symbol's weights sum to their number."""
     c = close.select("symbol", "ts", log_return(F.col("close"), ordered()).alias("r"))
-    rows = concurrency(close, labels).join(c, ["symbol", "ts"]).withColumn("part", F.try_divide("r", "n"))
-    e = _between(_closed(labels, close).select("symbol", "label_id", "t0", "t1"), rows, "part", "r")
+    rows = concurrency(close, labels, slot).join(c, ["symbol", "ts"]).withColumn("part", F.try_divide("r", "n"))
+    e = _between(_closed(labels, close).select("symbol", "label_id", "t0", "t1"), rows, "part", "r", slot)
     all_ = Window.partitionBy("symbol")
     x = F.abs("r_sum")
     return e.select("symbol", "label_id", (x * F.count(F.lit(1)).over(all_) / F.nullif(F.sum(x).over(all_), F.lit(0.0))).alias("weight"))
