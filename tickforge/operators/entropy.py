@@ -6,6 +6,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,13 +96,12 @@ ESTIMATES = {"shannon": shannon, "plug_in": plug_in, "lempel_ziv": lempel_ziv, "
 
 def entropies(df: DataFrame, message: str) -> DataFrame:
     """Adds shannon, plug_in, lempel_ziv and konto of the column ``message``, in Arrow batches."""
-    from pyspark.sql.functions import pandas_udf
-
     def of(estimate):
-        def run(series):
+        @F.pandas_udf("double")
+        def run(series: pd.Series) -> pd.Series:
             return series.map(lambda m: estimate(m) if m is not None else None).astype("float64")
 
-        return pandas_udf(run, "double", F.PandasUDFType.SCALAR)
+        return run
 
     return df.withColumns({name: of(f)(message) for name, f in ESTIMATES.items()})
 

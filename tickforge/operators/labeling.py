@@ -7,6 +7,7 @@ trgt and more. Interval joins run over time slots, so that a row meets only even
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -191,18 +192,14 @@ def matrix_flag(close: DataFrame, window: int, template: list[list[float]], thre
     tenth = np.repeat(np.arange(10), [len(a) for a in np.array_split(np.arange(window), 10)])
     share = 1 / np.bincount(tenth, minlength=10)[tenth]
 
-    def score(series):
-        import pandas as pd
-
+    @F.pandas_udf("double")
+    def score(series: pd.Series) -> pd.Series:
         y = np.stack(series.to_list()) if len(series) else np.zeros((0, window))
         cuts = np.percentile(y, np.arange(10, 101, 10), axis=1).T
         row = 9 - np.minimum(9, (cuts[:, None, :] < y[:, :, None]).sum(2))
         return pd.Series((grid[row, tenth[None, :]] * share).sum(1))
 
-    from pyspark.sql.functions import pandas_udf
-
-    score.__annotations__ = {}
-    scored = rows.withColumn("score", pandas_udf(score, "double", F.PandasUDFType.SCALAR)("_y")).drop("_y")
+    scored = rows.withColumn("score", score("_y")).drop("_y")
     if threshold is not None:
         scored = scored.withColumn("label", F.when(F.col("score") > threshold, 1).otherwise(-1))
     return scored

@@ -348,12 +348,23 @@ def frac_diff_ffd(spark, sf_dir):
     return features.frac_diff_ffd(tick_bars_of(spark, sf_dir), 0.5, 0.01).select("symbol", "ts", "seq", "frac_diff")
 
 
-@query()
+@query(f"""with recursive {BARS}, x as (select symbol, ts, seq, close, row_number() {W} - 1 as t, count(*) over (partition by symbol) as n from b),
+w(k, v) as (select 0::bigint, 1.0::double union all select k + 1, -v * (0.5 - (k + 1) + 1) / (k + 1) from w where k + 1 < (select max(n) from x)),
+tails as (select s.symbol, w.k, sum(abs(v)) over (partition by s.symbol order by w.k desc) / sum(abs(v)) over (partition by s.symbol) as share from (select distinct symbol, n from x) s join w on w.k < s.n),
+skips as (select symbol, count(*) filter (share > 0.05) as skip from tails group by symbol),
+y as (select x.symbol, x.ts, x.seq, x.t, sum(w.v * p.close) as y from x join x p on p.symbol = x.symbol and p.t <= x.t join w on w.k = x.t - p.t group by all)
+select y.symbol, y.ts, y.seq, case when y.t >= skip then y.y end as frac_diff from y join skips using (symbol)""")
 def frac_diff(spark, sf_dir):
     return features.frac_diff(tick_bars_of(spark, sf_dir), 0.5, 0.05).select("symbol", "ts", "seq", "frac_diff")
 
 
-@query()
+@query(f"""with {BARS}, c as (select * from b where close > 0),
+r as (select c.symbol, c.ts, c.seq, c.close / (select p.close from c p where p.symbol = c.symbol and p.ts < c.ts - interval 1 day order by p.ts desc, p.seq desc limit 1) - 1 as x from c),
+k as (select *, row_number() over (partition by symbol order by ts, seq) as k from r where x is not null),
+j as (select t.symbol, t.ts, t.seq, t.x as own, p.x, pow(1 - 2.0 / 51, t.k - p.k) as w from k t join k p on p.symbol = t.symbol and p.k <= t.k),
+m as (select *, sum(w * x) over g / sum(w) over g as m from j window g as (partition by symbol, ts, seq)),
+v as (select symbol, ts, seq, max(own) as own, count(*) as n, sum(w * (x - m) * (x - m)) / sum(w) as v, sum(w) as sw, sum(w * w) as sq from m group by all)
+select symbol, ts, seq, own as daily_return, case when n > 1 then sqrt(v * sw * sw / (sw * sw - sq)) end as daily_vol from v""")
 def daily_vol(spark, sf_dir):
     return features.daily_vol(tick_bars_of(spark, sf_dir).where("close > 0"), 50)
 
@@ -409,12 +420,25 @@ def information(spark, sf_dir):
     return codependence.information(rets(spark, sf_dir), 8)
 
 
-@query()
+@query(f"""with {RET}, d as (select l.a, l.b, l.ts as i, abs(l.x - r.x) as dx, abs(l.y - r.y) as dy, r.ts as j from pr l join pr r on l.a = r.a and l.b = r.b),
+m as (select *, dx - avg(dx) over (partition by a, b, i) - avg(dx) over (partition by a, b, j) + avg(dx) over (partition by a, b) as u,
+  dy - avg(dy) over (partition by a, b, i) - avg(dy) over (partition by a, b, j) + avg(dy) over (partition by a, b) as v from d)
+select a, b, sqrt(greatest(0, sum(u * v))) / pow(sum(u * u) * sum(v * v), 0.25) as distance_correlation from m group by a, b""")
 def distance_correlation(spark, sf_dir):
     return codependence.distance_correlations(rets(spark, sf_dir))
 
 
-@query()
+@query(f"""with {RET}, k as (select *, rank() over (partition by a, b order by x) + (count(*) over (partition by a, b, x) - 1) / 2 as rx,
+  rank() over (partition by a, b order by y) + (count(*) over (partition by a, b, y) - 1) / 2 as ry from pr),
+g as (select a, b, corr(rx, ry) as rho, avg(x) as mx, avg(y) as my, stddev_pop(x) as sx, stddev_pop(y) as sy, least(min(x), min(y)) as low, count(*) as n,
+  3 * sum((x - y) * (x - y)) / (count(*) * (count(*) * count(*) - 1)) as d1 from k group by a, b),
+hx as (select pr.a, pr.b, floor((x - low) / 0.05) as c, count(*) / max(n) as px from pr join g on g.a = pr.a and g.b = pr.b group by all),
+hy as (select pr.a, pr.b, floor((y - low) / 0.05) as c, count(*) / max(n) as py from pr join g on g.a = pr.a and g.b = pr.b group by all),
+h as (select coalesce(hx.a, hy.a) as a, coalesce(hx.b, hy.b) as b, sum(pow(sqrt(coalesce(px, 0)) - sqrt(coalesce(py, 0)), 2)) / 2 as d0
+  from hx full join hy on hx.a = hy.a and hx.b = hy.b and hx.c = hy.c group by all)
+select g.a, g.b, sqrt(greatest(0, 0.5 * (1 - rho) / 2 + 0.5 * (1 - sqrt(2 * sx * sy / (sx * sx + sy * sy)) * exp(-(mx - my) * (mx - my) / (sx * sx + sy * sy) / 4)))) as gpr,
+  sqrt(greatest(0, 0.5 * d1 + 0.5 * d0)) as gnpr
+from g join h on g.a = h.a and g.b = h.b""")
 def gpr_distances(spark, sf_dir):
     r = rets(spark, sf_dir)
     return codependence.gpr_distance(r, 0.5).join(codependence.gnpr_distance(r, 0.5, 0.05), ["a", "b"])
