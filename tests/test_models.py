@@ -115,3 +115,22 @@ def test_slots_change_nothing(spark, sf):
         order = list(a.columns[:2])
         a, b = (x.sort_values(order).reset_index(drop=True) for x in (a, b))
         pd.testing.assert_frame_equal(a, b, check_dtype=False, rtol=1e-9)
+
+
+def test_matrix_flag_against_a_loop(spark):
+    from tickforge.operators import labeling
+
+    y = np.random.default_rng(5).normal(size=40).cumsum() + 50
+    df = spark.createDataFrame(pd.DataFrame({"symbol": "s", "ts": pd.date_range("2024-01-01", periods=40), "seq": range(40), "close": y})).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    got = labeling.matrix_flag(df, 23, "leigh_bear", 0.0).toPandas().set_index("seq")
+    grid = np.array(labeling.TEMPLATES["leigh_bear"])
+    for k in range(23, 40):
+        part, score = y[k - 23:k], 0.0
+        cuts = np.percentile(part, range(10, 101, 10))
+        for c, chunk in enumerate(np.array_split(part, 10)):
+            for v in chunk:
+                score += grid[9 - int((cuts < v).sum()), c] / len(chunk)
+        assert got.loc[k, "score"] == pytest.approx(score) and got.loc[k, "label"] == (1 if score > 0 else -1)
+    assert len(got) == 17
+    with pytest.raises(ValueError):
+        labeling.matrix_flag(df, 10, "triangle")

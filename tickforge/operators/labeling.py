@@ -15,6 +15,35 @@ from tickforge.functions.rolling import full
 
 SLOT = 86_400
 
+#: Published flag templates, upper row first. The bearish ones are these upside down.
+LEIGH_BULL = [
+    [0.5, 0, -1, -1, -1, -1, -1, -1, -1, 0],
+    [1, 0.5, 0, -0.5, -1, -1, -1, -1, -0.5, 0],
+    [1, 1, 0.5, 0, -0.5, -0.5, -0.5, -0.5, 0, 0.5],
+    [0.5, 1, 1, 0.5, 0, -0.5, -0.5, -0.5, 0, 1],
+    [0, 0.5, 1, 1, 0.5, 0, 0, 0, 0.5, 1],
+    [0, 0, 0.5, 1, 1, 0.5, 0, 0, 1, 1],
+    [-0.5, 0, 0, 0.5, 1, 1, 0.5, 0.5, 1, 1],
+    [-0.5, -1, 0, 0, 0.5, 1, 1, 1, 1, 0],
+    [-1, -1, -1, -0.5, 0, 0.5, 1, 1, 0, -2],
+    [-1, -1, -1, -1, -1, 0, 0.5, 0.5, -2, -2.5],
+]
+CERVELLOROYO_BULL = [
+    [0, 0, 0, 0, 0, 0, 0, 0, 0, 0],
+    [0, 0, 0, 0, 0, 0, 0, 0, 0, 0],
+    [0, 0, 0, 0, 0, 0, 0, 0, 0, 0],
+    [0, 0, 0, 0, -1, -1, -1, -1, -1, -1],
+    [0, 0, 0, -1, -2, -2, -2, -2, -2, -2],
+    [0, 0, -1, -3, -3, -3, -3, -3, -3, -3],
+    [0, -1, -3, -5, -5, -5, -5, -5, -5, -5],
+    [0, -1, -5, -5, -5, -5, -5, -5, -5, -5],
+    [0, -1, -5, -5, -5, -5, -5, -5, -5, -5],
+    [5, -1, -5, -5, -5, -5, -5, -5, -5, -5],
+]
+TEMPLATES = {
+    "leigh_bull": LEIGH_BULL, "leigh_bear": LEIGH_BULL[::-1], "cervelloroyo_bull": CERVELLOROYO_BULL, "cervelloroyo_bear": CERVELLOROYO_BULL[::-1],
+}
+
 
 def slot_of(ts, size: int = SLOT) -> Column:
     return F.floor(F.unix_micros(F.col(ts).cast("timestamp") if isinstance(ts, str) else ts.cast("timestamp")) / (size * 1_000_000))
@@ -178,13 +207,15 @@ def tail_set_members(labels: DataFrame) -> DataFrame:
     return labels.groupBy("ts").agg(side(1).alias("positive"), side(-1).alias("negative"))
 
 
-def matrix_flag(close: DataFrame, window: int, template: list[list[float]], threshold: float | None = None) -> DataFrame:
+def matrix_flag(close: DataFrame, window: int, template: str | list[list[float]], threshold: float | None = None) -> DataFrame:
     """symbol, ts, seq, score: how the previous ``window`` closes, as a 10 by 10 picture, fit a template.
 
     Row r of the picture is decile 9 - r of the prices, column c the c-th tenth of the time. With a
-    threshold the label (1 or -1) is added. The template is a 10 by 10 table, its upper row first.
+    threshold the label (1 or -1) is added. The template is a name in TEMPLATES, or a 10 by 10 table with its upper row first.
     """
-    grid = np.asarray(template, float)
+    if isinstance(template, str) and template not in TEMPLATES:
+        raise ValueError(f"template is one of {', '.join(TEMPLATES)}, or a table")
+    grid = np.asarray(TEMPLATES[template] if isinstance(template, str) else template, float)
     if grid.shape != (10, 10):
         raise ValueError("the template has 10 rows of 10 weights")
     w = Window.partitionBy("symbol").orderBy("ts", "seq").rowsBetween(-window, -1)

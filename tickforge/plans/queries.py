@@ -263,8 +263,7 @@ def trend_scanning(spark, sf_dir):
 
 @query()
 def matrix_flags(spark, sf_dir):
-    bull = [[0.5 if c < 5 else 1.0 - 0.1 * r for c in range(10)] if r < 5 else [-0.1 * r if c > 5 else 0.2 for c in range(10)] for r in range(10)]
-    return labeling.matrix_flag(tick_bars_of(spark, sf_dir).select("symbol", "ts", "seq", "close"), 20, bull)
+    return labeling.matrix_flag(tick_bars_of(spark, sf_dir).select("symbol", "ts", "seq", "close"), 20, "leigh_bull")
 
 
 # Features --------------------------------------------------------------------------------------------
