@@ -260,8 +260,9 @@ def edited(line, k, rng):
     return "".join(c)
 
 
-@pytest.mark.parametrize("t", [1, 2, 3])
-def test_line_dedup_against_brute_force(spark, t):
+@pytest.mark.parametrize("t,hot", [(1, 0), (1, 16), (2, 0), (2, 3), (3, 1), (3, 16)])
+def test_line_dedup_against_brute_force(spark, t, hot, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT", hot)
     rng = np.random.default_rng(t)
     base = [" ".join(words(int(rng.integers(4, 9)), k)) + "xxxxxxxxxxx" for k in range(25)]
     texts = [None, "", "short", "short\nshort", "\n\n"]
