@@ -159,32 +159,32 @@ def over_benchmark(panel: DataFrame, benchmark: float | DataFrame = 0.0, binary=
 def trend_scanning(close: DataFrame, look_forward: int = 20, min_length: int = 5, step: int = 1) -> DataFrame:
     """symbol, ts, seq, t1, tvalue, ret, bin: the stretch ahead with the largest slope t value, and its sign.
 
-    Slopes come from closed-form sums over the rows ahead, held as one array of at most look_forward values.
+    Slopes come from closed-form sums over the rows ahead, arrays of look_forward values that are scored in
+    Arrow batches; a stretch that a line fits exactly has no t value.
     """
     w = Window.partitionBy("symbol").orderBy("ts", "seq").rowsBetween(0, look_forward - 1)
     rows = close.withColumns({"_y": F.collect_list("close").over(w), "_t": F.collect_list("ts").over(w)}).where(F.size("_y") == look_forward)
 
-    def stat(k):
-        y = F.slice("_y", 1, k)
-        mean = F.aggregate(y, F.lit(0.0), lambda a, v: a + v) / k
-        dev = F.transform(y, lambda v, i: F.struct((v - mean).alias("d"), (i - (k - 1) / 2).alias("x")))
-        sums = F.aggregate(dev, F.struct(F.lit(0.0).alias("xy"), F.lit(0.0).alias("yy")), lambda a, s: F.struct((a["xy"] + s["x"] * s["d"]).alias("xy"), (a["yy"] + s["d"] * s["d"]).alias("yy")))
-        sxx = k * (k * k - 1) / 12
-        return sums, sxx
-
-    def t_value(k):
-        sums, sxx = stat(k)
-        sse = sums["yy"] - sums["xy"] * sums["xy"] / sxx
-        return F.when(sse > 0, sums["xy"] / sxx / F.sqrt(sse / (k - 2) / sxx))
-
-    lengths = range(min_length, look_forward, step)
-    best = F.array(*[F.struct(F.abs(t_value(k)).alias("a"), F.lit(-k).alias("k"), t_value(k).alias("t")) for k in lengths])
-    rows = rows.withColumn("_best", F.array_max(F.filter(best, lambda s: s["a"].isNotNull())))
-    end = -F.col("_best.k")
+    @F.pandas_udf("k int, t double")
+    def best(series: pd.Series) -> pd.DataFrame:
+        y = np.stack(series.to_list()) if len(series) else np.zeros((0, look_forward))
+        length, found = np.zeros(len(y), np.int32), np.full(len(y), np.nan)
+        for k in range(min_length, look_forward, step):
+            d, x, sxx = y[:, :k] - y[:, :k].mean(1, keepdims=True), np.arange(k) - (k - 1) / 2, k * (k * k - 1) / 12
+            xy, yy = d @ x, (d * d).sum(1)
+            sse = yy - xy * xy / sxx
+            some = sse > 1e-12 * yy
+            t = np.where(some, xy / sxx / np.sqrt(np.where(some, sse, 1) / (k - 2) / sxx), np.nan)
+            better = some & ~(np.abs(found) >= np.abs(t))
+            length[better], found[better] = k, t[better]
+        return pd.DataFrame({"k": length, "t": found})
+
+    rows = rows.withColumn("_best", best("_y")).where(F.col("_best.k") > 0)
+    end = F.col("_best.k")
     return rows.select(
         "symbol", "ts", "seq", F.element_at("_t", end).alias("t1"), F.col("_best.t").alias("tvalue"),
         (F.element_at("_y", end) / F.col("close") - 1).alias("ret"), F.signum("_best.t").cast("int").alias("bin"),
-    ).where("tvalue is not null")
+    )
 
 
 def tail_sets(panel: DataFrame, n_bins: int, window: int | None = None) -> DataFrame:
