@@ -281,6 +281,32 @@ def test_line_dedup_against_brute_force(spark, t, hot, monkeypatch):
     assert list(got.columns[:5]) == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def scaled_brute_force(texts):
+    seen, out = [], []
+    for text in texts:
+        keep = []
+        for x in (text or "").split("\n"):
+            near = any(x == y or abs(len(x) - len(y)) <= (m := min(4, len(x) // 5, len(y) // 5)) and levenshtein(x, y) <= m for y in seen)
+            if not x.strip() or not near:
+                keep.append(x)
+            if x.strip():
+                seen.append(x)
+        out.append(None if text is None else "\n".join(keep))
+    return out
+
+
+@pytest.mark.parametrize("hot", [0, 16])
+def test_scaled_line_dedup_against_brute_force(spark, hot, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    rng = np.random.default_rng(hot)
+    base = [" ".join(words(int(rng.integers(4, 40)), k)) for k in range(12)] + ["Les.", "And ornd.", "Erheed. Tit", "Erheed. Titionly", "a line of 20 letters", "a rather longer line of 40 letters, here"]
+    texts = [None, "", "  \n\n  ", "Les.\nLes.", "Les."]
+    for _ in range(50):
+        texts.append("\n".join(edited(base[int(rng.integers(len(base)))], int(rng.integers(0, 7)) if rng.integers(3) else 0, rng) for _ in range(int(rng.integers(1, 4)))))
+    got = line_dedup.dedup_lines(documents(spark, texts), None, None).toPandas().sort_values("doc_id")
+    assert got["text"].tolist() == scaled_brute_force(texts)
+
+
 def test_line_dedup_keeps_many_lines_and_repeated_rows(spark):
     text = "\n".join(f"line number {k} of a long document {k * k}" for k in range(0, 3000, 37))
     docs = documents(spark, [text, text]).unionByName(documents(spark, [text]))
