@@ -1,6 +1,7 @@
 """Every registered query runs, and equals its SQL where it has one."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tickforge.catalog import ORACLES, QUERIES
 
@@ -19,3 +20,11 @@ def test_entry(spark):
 
     assert e.entry(spark).limit(1).count() == 1
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_sadf_takes_every_week(spark, sf):
+    from tickforge.sources.ticks import panel
+
+    got = {r["symbol"]: r["n"] for r in QUERIES["sadf"](spark, sf).groupBy("symbol").agg(F.count("*").alias("n")).collect()}
+    weeks = {r["asset"]: r["n"] for r in panel(spark, sf).groupBy("asset").agg(F.count("*").alias("n")).collect()}
+    assert got == {k: n - 2 - 11 for k, n in weeks.items()}  # a lag and a difference are lost, and 11 rows short of min_length

@@ -471,7 +471,7 @@ def chu_stinchcombe_white(spark, sf_dir):
 
 @query()
 def sadf(spark, sf_dir):
-    weekly = labeling.resampled(panel(spark, sf_dir), "quarter").select(F.col("asset").alias("symbol"), "ts", F.lit(0).cast("long").alias("seq"), F.log("price").alias("close"))
+    weekly = panel(spark, sf_dir).select(F.col("asset").alias("symbol"), "ts", F.lit(0).cast("long").alias("seq"), F.log("price").alias("close"))
     return breaks.sadf(weekly, "linear", 1, 12)
 
 
