@@ -28,3 +28,14 @@ def test_sadf_takes_every_week(spark, sf):
     got = {r["symbol"]: r["n"] for r in QUERIES["sadf"](spark, sf).groupBy("symbol").agg(F.count("*").alias("n")).collect()}
     weeks = {r["asset"]: r["n"] for r in panel(spark, sf).groupBy("asset").agg(F.count("*").alias("n")).collect()}
     assert got == {k: n - 2 - 11 for k, n in weeks.items()}  # a lag and a difference are lost, and 11 rows short of min_length
+
+
+def test_online_selection_takes_every_strategy_and_week(spark, sf):
+    from tickforge.operators import online
+    from tickforge.sources.ticks import panel
+
+    p = panel(spark, sf)
+    whole = p.groupBy("ts").count().where(F.col("count") == p.select("asset").distinct().count()).count()
+    got = QUERIES["online_selection"](spark, sf).collect()
+    assert {r["strategy"] for r in got} == set(online.STRATEGIES)
+    assert {r["dates"] for r in got} == {whole}

@@ -732,9 +732,7 @@ def mean_variance_weights(spark, sf_dir):
 
 @query()
 def online_selection(spark, sf_dir):
-    quick = [s for s in online.STRATEGIES if s not in ("ftl", "ftrl", "corn_k", "scorn_k", "fcorn_k", "corn_u", "scorn", "fcorn")]
-    monthly = labeling.resampled(panel(spark, sf_dir), "month")
-    return online.select(monthly, quick).groupBy("strategy").agg(F.max_by("wealth", "ts").alias("wealth"), F.countDistinct("ts").alias("dates"))
+    return online.select(panel(spark, sf_dir), list(online.STRATEGIES)).groupBy("strategy").agg(F.max_by("wealth", "ts").alias("wealth"), F.countDistinct("ts").alias("dates"))
 
 
 # Several instruments, features of bars, clusters and importance --------------------------------------
