@@ -49,3 +49,16 @@ def test_barriers_of_every_bar(name, spark, sf, same_as_sql):
 def test_sequential_bootstrap_draws_from_every_bar(spark, sf):
     labels = QUERIES["vertical_barrier_every_bar"](spark, sf).count()
     assert QUERIES["sequential_bootstrap"](spark, sf).count() == labels
+
+
+def test_features_are_all_components(spark, sf):
+    import numpy as np
+
+    n = 64
+    assert {r["feature"] for r in QUERIES["feature_clusters"](spark, sf).collect()} == {f"f{j}" for j in range(n)}
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").toPandas()
+    z = np.stack(e["embedding"].to_numpy()).astype(float)
+    z = (z - z.mean(0)) / z.std(0, ddof=1)
+    top = np.linalg.eigh(np.corrcoef(z.T))[0][::-1][:3]
+    got = QUERIES["orthogonal_features"](spark, sf).select("PC_0", "PC_1", "PC_2").toPandas()
+    assert np.allclose(got.var(ddof=1), top)  # a loading on fewer components has another variance

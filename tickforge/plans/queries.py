@@ -787,16 +787,20 @@ def etf_trick(spark, sf_dir):
     return run(p.select("ts", "asset", (F.col("price") * 0.99).alias("open"), F.col("price").alias("close"), sign.alias("alloc"), F.lit(None).cast("double").alias("cost"), F.lit(None).cast("double").alias("rate")))
 
 
-def embedded(spark, sf_dir, k=6):
+def embedded(spark, sf_dir):
+    """row_id, f0, f1, ..., y, and the names of the features: a column for each component of the embedding."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return e.select(F.col("vec_id").alias("row_id"), *[F.element_at("embedding", j + 1).cast("double").alias(f"f{j}") for j in range(k)], (F.col("label") < 5).cast("int").alias("y"))
+    names = [f"f{j}" for j in range(e.agg(F.max(F.size("embedding"))).first()[0] or 0)]
+    columns = [F.element_at("embedding", j + 1).cast("double").alias(f) for j, f in enumerate(names)]
+    return e.select(F.col("vec_id").alias("row_id"), *columns, (F.col("label") < 5).cast("int").alias("y")), names
 
 
 @query()
 def orthogonal_features(spark, sf_dir):
     from tickforge.operators import importance
 
-    out, value, _ = importance.orthogonal_features(embedded(spark, sf_dir), [f"f{j}" for j in range(6)], number=3)
+    df, names = embedded(spark, sf_dir)
+    out, value, _ = importance.orthogonal_features(df, names, number=3)
     return out.select("row_id", "PC_0", "PC_1", "PC_2")
 
 
@@ -806,8 +810,7 @@ def feature_importance(spark, sf_dir):
 
     from tickforge.operators import importance
 
-    names = [f"f{j}" for j in range(6)]
-    df = embedded(spark, sf_dir)
+    df, names = embedded(spark, sf_dir)
     model = RandomForestClassifier(labelCol="y", featuresCol="features", numTrees=8, maxDepth=4, seed=1)
     n = df.count()
     folds = df.select((F.pmod(F.xxhash64("row_id"), F.lit(2))).cast("int").alias("h"), "row_id")
@@ -821,7 +824,7 @@ def feature_importance(spark, sf_dir):
 def feature_clusters(spark, sf_dir):
     from tickforge.operators import importance
 
-    names = [f"f{j}" for j in range(6)]
-    long = embedded(spark, sf_dir).select(F.col("row_id").alias("ts"), F.explode(F.array(*[F.struct(F.lit(f).alias("asset"), F.col(f).alias("value")) for f in names])).alias("s")).select("ts", "s.*")
+    df, names = embedded(spark, sf_dir)
+    long = df.select(F.col("row_id").alias("ts"), F.explode(F.array(*[F.struct(F.lit(f).alias("asset"), F.col(f).alias("value")) for f in names])).alias("s")).select("ts", "s.*")
     groups = importance.feature_clusters(long, "spearmans_rho", "angular", "average", 3)
     return spark.createDataFrame([(k, f) for k, g in enumerate(groups) for f in g], "cluster int, feature string")
