@@ -260,33 +260,12 @@ def edited(line, k, rng):
     return "".join(c)
 
 
-@pytest.mark.parametrize("t,hot", [(1, 0), (1, 16), (2, 0), (2, 3), (3, 1), (3, 16)])
-def test_line_dedup_against_brute_force(spark, t, hot, monkeypatch):
-    monkeypatch.setattr(line_dedup, "HOT", hot)
-    rng = np.random.default_rng(t)
-    base = [" ".join(words(int(rng.integers(4, 9)), k)) + "xxxxxxxxxxx" for k in range(25)]
-    texts = [None, "", "short", "short\nshort", "\n\n"]
-    for k in range(60):
-        texts.append("\n".join(edited(base[int(rng.integers(25))], int(rng.integers(0, t + 3)), rng) for _ in range(int(rng.integers(1, 5)))))
-    got = line_dedup.dedup_lines(documents(spark, texts), t).toPandas().sort_values("doc_id")
-    lines = [(d, p, x) for d, text in enumerate(texts) if text is not None for p, x in enumerate(text.split("\n"))]
-    seen, keep = [], {}
-    for d, p, x in lines:
-        keep.setdefault(d, [])
-        if len(x) < 20 or not any(abs(len(x) - len(y)) <= t and levenshtein(x, y) <= t for y in seen):
-            keep[d].append(x)
-        if len(x) >= 20:
-            seen.append(x)
-    assert got["text"].tolist() == [None if text is None else "\n".join(keep[d]) for d, text in enumerate(texts)]
-    assert list(got.columns[:5]) == ["doc_id", "text", "lang", "source", "n_chars"]
-
-
-def scaled_brute_force(texts):
+def brute_lines(texts, most=4, scale=5):
     seen, out = [], []
     for text in texts:
         keep = []
         for x in (text or "").split("\n"):
-            near = any(x == y or abs(len(x) - len(y)) <= (m := min(4, len(x) // 5, len(y) // 5)) and levenshtein(x, y) <= m for y in seen)
+            near = any(x == y or abs(len(x) - len(y)) <= (m := min(most, len(x) // scale, len(y) // scale)) and levenshtein(x, y) <= m for y in seen)
             if not x.strip() or not near:
                 keep.append(x)
             if x.strip():
@@ -295,16 +274,63 @@ def scaled_brute_force(texts):
     return out
 
 
-@pytest.mark.parametrize("hot", [0, 16])
-def test_scaled_line_dedup_against_brute_force(spark, hot, monkeypatch):
+@pytest.mark.parametrize("most,scale,hot", [(4, 5, 1), (4, 5, 16), (4, 5, 0), (1, 20, 2), (2, 10, 1), (3, 3, 3)])
+def test_line_dedup_against_brute_force(spark, most, scale, hot, monkeypatch):
     monkeypatch.setattr(line_dedup, "HOT", hot)
-    rng = np.random.default_rng(hot)
+    rng = np.random.default_rng(hot + most)
     base = [" ".join(words(int(rng.integers(4, 40)), k)) for k in range(12)] + ["Les.", "And ornd.", "Erheed. Tit", "Erheed. Titionly", "a line of 20 letters", "a rather longer line of 40 letters, here"]
+    base += [" ".join(words(20, 77) + words(6, 200 + k)) for k in range(8)]  # a common beginning
+    base += [" ".join(words(6, 300 + k) + words(30, 78) + words(3, 400 + k)) for k in range(8)]  # a common middle
     texts = [None, "", "  \n\n  ", "Les.\nLes.", "Les."]
-    for _ in range(50):
+    for _ in range(70):
         texts.append("\n".join(edited(base[int(rng.integers(len(base)))], int(rng.integers(0, 7)) if rng.integers(3) else 0, rng) for _ in range(int(rng.integers(1, 4)))))
-    got = line_dedup.dedup_lines(documents(spark, texts), None, None).toPandas().sort_values("doc_id")
-    assert got["text"].tolist() == scaled_brute_force(texts)
+    got = line_dedup.dedup_lines(documents(spark, texts), most, scale).toPandas().sort_values("doc_id")
+    assert got["text"].tolist() == brute_lines(texts, most, scale)
+    assert list(got.columns) == ["doc_id", "text", "lang", "source", "n_chars", "_lines", "_dropped"]
+
+
+@pytest.mark.parametrize("t", range(5))
+def test_listed_substrings_meet(t):
+    """Any two strings within t edits list a common substring, whatever the class border."""
+    def listed(s, t):
+        out = set()
+        for n in {len(s), max(0, len(s) - t)}:
+            w = n // (t + 1)
+            w -= w % (1 << max(0, w.bit_length() - 3))
+            w = n if t == 0 else w if w > t // 2 else 0
+            if not w:
+                out.add((0, 2, 0, ""))
+                continue
+            for side, i, m in line_dedup.zones(t):
+                size = w - i
+                start = len(s) - i * w - m - size if side else i * w + m
+                out.add((w, side, i, s[start:start + size]))
+        return out
+
+    rng = np.random.default_rng(t)
+    for _ in range(3000):
+        a = "".join(rng.choice(list("abc"), int(rng.integers(5 * t, 5 * t + 60))))
+        b = list(a)
+        for _ in range(t):
+            at, how = int(rng.integers(len(b) + 1)), rng.integers(3)
+            if how == 0 and at < len(b):
+                b[at] = "x"
+            elif how == 1 and at < len(b):
+                del b[at]
+            else:
+                b.insert(at, "y")
+        assert listed(a, t) & listed("".join(b), t), (a, b)
+
+
+def test_line_dedup_edges(spark):
+    lines = ["the first line of a text that is long enough", "a second line, quite different from the first one"]
+    rows = [(1, lines[0], 1, 2), (1, lines[1] + "\n" + lines[0], 1, 3), (None, lines[1], 5, 6), (3, "x" * 300_000 + "\n" + lines[0] + "!", 7, 8), (4, "x" * 299_998 + "yy", 9, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _d long, _lines long")
+    got = {(r["doc_id"], r["_d"]): r for r in line_dedup.dedup_lines(docs).collect()}
+    assert len(got) == 4 or len(got) == 5
+    assert got[None, 5]["text"] == lines[1] and got[3, 7]["text"] == "x" * 300_000 and got[4, 9]["text"] == ""
+    kept = [r["text"] for r in line_dedup.dedup_lines(docs).where("doc_id = 1").collect()]
+    assert sorted(kept) in (["", lines[0]], ["", lines[0]][::-1]) and got[3, 7]["_lines"] == 2 and got[3, 7]["_dropped"] == 1
 
 
 def test_line_dedup_keeps_many_lines_and_repeated_rows(spark):

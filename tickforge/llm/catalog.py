@@ -11,7 +11,6 @@ QUERIES = {
     "op4_url_filters": url_filter.op4_url_filters,
     "op5_language_id": language_id.op5_language_id,
     "op6_line_dedup": line_dedup.op6_line_dedup,
-    "op6_line_dedup_scaled": line_dedup.op6_line_dedup_scaled,
     "op7_source_mixing": mixing.op7_source_mixing,
     "op8_ngram_jaccard_join": ngram_join.op8_ngram_jaccard_join,
     "op9_sharding": sharding.op9_sharding,
