@@ -18,12 +18,15 @@ prefixes are posted to an inverted index that is dealt by hash and handled as ar
   reach T, long lists probed for these by binary search.
 
 So no list is ever expanded into its pairs and no candidate is dropped. Tables of tokens travel as
-packed arrays; a shingle on very many texts adds 16 bytes a text to one of the index's parts.
+packed arrays. A shingle that a sample finds on very many texts is a list in pieces, dealt by a hash of
+the member: each piece has its first, the firsts of all pieces are tried with the least of them, and the
+list is settled when all pieces together are. Which shingles these are changes no result.
 
 Defined cases: a null text, or one without a word, has an empty set and links with nothing; under five
 words the whole sequence is the one shingle; rows are documents, and those that share a doc_id form
-their components by their texts; a null doc_id names no component and may get a null component_id;
-an empty table gives no rows; further columns are not read.
+their components by their texts; rows with a null doc_id link like others but name no component, so
+that component_id is null where no row of a component has a doc_id; repeated rows are linked; an empty
+table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
@@ -38,13 +41,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickforge.llm._common import BROADCAST_ROWS, materialize, parallelism, read
+from tickforge.llm._common import BROADCAST_ROWS, counted, materialize, parallelism, read
 from tickforge.llm.components import components
 from tickforge.llm.vectors import each_group
 
 WIDTH, PERCENT, SHORT = 5, 75, 8
 SLACK = 20  # k is 1 + n // SLACK
-CHUNK, PART_POSTINGS, SEARCH_BLOCK = 4 << 20, 1_000_000, 2048
+CHUNK, PART_POSTINGS, SEARCH_TOKENS = 1 << 20, 500_000, 1 << 16
+#: One class in so many is looked at to find shingles of very many texts, and how many of these make one heavy.
+SAMPLED, HEAVY = 64, 64
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.zeros(256, bool)
@@ -142,61 +147,73 @@ def _arrow(**columns):
 
 
 def _texts(column):
-    return [None if t is None else t.encode("utf-8", "replace") for t in column.to_pylist()]
+    return column.cast(pa.binary()).to_pylist()
+
+
+def text_key():
+    """What a row's text is known by: with null as a text of its own."""
+    return F.xxhash64("text")
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n, c for each row of ``docs`` (doc_id, text): the size and the class of its set."""
+    """doc_id, x, n, c for each row of ``docs`` (doc_id, text): its text's key, the size and the class of its set."""
     def sizes(batches):
         shingler = Shingler()
         for batch in batches:
             n, c = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for tokens, lengths in shingler.sets(_texts(batch.column(1))):
+            for tokens, lengths in shingler.sets(_texts(batch.column(2))):
                 n.append(lengths)
                 c.append(classes_of(tokens, lengths))
-            yield _arrow(doc_id=batch.column(0), n=np.concatenate(n).astype(np.int64), c=np.concatenate(c))
+            yield _arrow(doc_id=batch.column(0), x=batch.column(1), n=np.concatenate(n).astype(np.int64), c=np.concatenate(c))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sizes, "doc_id long, n long, c long")
+    return docs.select(F.col("doc_id").cast("long"), text_key().alias("x"), "text").mapInArrow(sizes, "doc_id long, x long, n long, c long")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """c, n, tokens (packed) for the classes of ``wanted`` (doc_id, c), each from one of its documents."""
+    """c, n, tokens (packed) for the classes of ``wanted`` (x, c), each from one of its texts."""
     def packed(batches):
         shingler = Shingler()
         for batch in batches:
-            out, at = ([], [], [], []), 0
-            for tokens, lengths in shingler.sets(_texts(batch.column(1))):
+            out, at, wanted_names = ([], [], []), 0, batch.column(1).to_numpy()
+            for tokens, lengths in shingler.sets(_texts(batch.column(0))):
                 ends, names = np.cumsum(lengths), classes_of(tokens, lengths)
-                for k, end in enumerate(ends):
+                for k in np.flatnonzero(names == wanted_names[at:at + len(lengths)]):  # but for texts whose keys collide
                     out[0].append(names[k])
                     out[1].append(int(lengths[k]))
-                    out[2].append(tokens[end - lengths[k]:end].tobytes())
-                    out[3].append(batch.column(2)[at + k].as_py())
+                    out[2].append(tokens[ends[k] - lengths[k]:ends[k]].tobytes())
                 at += len(lengths)
-            fits = [k for k in range(len(out[0])) if out[0][k] == out[3][k]]  # a doc_id may name several texts
-            yield _arrow(c=pa.array([out[0][k] for k in fits], pa.int64()), n=pa.array([out[1][k] for k in fits], pa.int64()), tokens=pa.array([out[2][k] for k in fits], pa.binary()))
+            yield _arrow(c=pa.array(out[0], pa.int64()), n=pa.array(out[1], pa.int64()), tokens=pa.array(out[2], pa.binary()))
 
-    number = wanted.count()
+    wanted, number = counted(wanted)
     wanted = F.broadcast(wanted) if number <= 10 * BROADCAST_ROWS else wanted  # rows of two longs
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
-    sets = texts.select("doc_id", "text", "c").mapInArrow(packed, "c long, n long, tokens binary")
+    texts = docs.select(text_key().alias("x"), "text").join(wanted, "x")
+    sets = texts.select("text", "c").mapInArrow(packed, "c long, n long, tokens binary")
     return sets.groupBy("c").agg(F.min("n").alias("n"), F.min("tokens").alias("tokens"))
 
 
-def _posted(sets, parts: int, whole: bool):
-    """Packs the posted tokens of (tokens, lengths, classes) runs by the part of the index they belong to."""
+def _prefixes(tokens, lengths, names, whole: bool):
+    """(token, owner) of the posted tokens of a run, of equal sets in it but one."""
+    starts = np.cumsum(lengths) - lengths
+    once = np.zeros(len(lengths), bool)
+    once[np.unique(names, return_index=True)[1]] = True
+    posted = np.where(once, lengths if whole else np.minimum(lengths, lengths - required(lengths) + threshold(lengths, whole)), 0)
+    owner = np.repeat(np.arange(len(lengths)), posted)
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(posted) - posted, posted) + np.repeat(starts, posted)
+    return tokens[at], owner
+
+
+def _posted(sets, parts: int, whole: bool, heavy: np.ndarray):
+    """Packs the posted tokens of (tokens, lengths, classes) runs by the part of the index they belong to.
+
+    Heavy tokens (sorted) are dealt by their members instead, the same for all of them.
+    """
     width = (1 << 64) // parts + 1
     for tokens, lengths, names in sets:
-        starts = np.cumsum(lengths) - lengths
-        once = np.zeros(len(lengths), bool)
-        once[np.unique(names, return_index=True)[1]] = True  # of equal sets in a run, one
-        posted = np.where(once, lengths if whole else np.minimum(lengths, lengths - required(lengths) + threshold(lengths, whole)), 0)
-        if not posted.sum():
+        token, owner = _prefixes(tokens, lengths, names, whole)
+        if not len(token):
             continue
-        owner = np.repeat(np.arange(len(lengths)), posted)
-        at = np.arange(len(owner)) - np.repeat(np.cumsum(posted) - posted, posted) + np.repeat(starts, posted)
-        token = tokens[at]
-        part = (mixed(token) // np.uint64(width)).astype(np.int64)
+        by = np.where(_among(token, heavy), names[owner].view(np.uint64), token)
+        part = (mixed(by) // np.uint64(width)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         part, token, owner = part[order], token[order], owner[order].astype(np.int64)
         cuts = np.flatnonzero(np.diff(part, prepend=-1))
@@ -205,6 +222,12 @@ def _posted(sets, parts: int, whole: bool):
             yield int(part[a]), token[a:b].tobytes(), member.astype(np.uint32).tobytes(), names[own].tobytes(), lengths[own].astype(np.uint32).tobytes()
 
 
+def _among(token: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+    if not len(heavy):
+        return np.zeros(len(token), bool)
+    return heavy[np.minimum(np.searchsorted(heavy, token), len(heavy) - 1)] == token
+
+
 POSTINGS = "part int, token binary, member binary, name binary, size binary"
 
 
@@ -217,11 +240,11 @@ def _postings(rows):
 
 
 #: kind 0: the classes a, b are together on v short lists. kind 1: class a lies on v long lists of members b.
-#: kind 2: class a is the first of v long lists that hold b.
+#: kind 2: class a is the first of v long lists that hold b. kind 3: class a is the first of a piece of the heavy list b.
 FOUND = "kind int, a long, b long, na long, nb long, v long"
 
 
-def _lists(batches, whole: bool):
+def _lists(batches, heavy: np.ndarray):
     """The lists of one part of the index: pairs of short lists, counted; stars of long lists, counted; the long lists."""
     token, name, size = [], [], []
     for batch in batches:
@@ -240,11 +263,12 @@ def _lists(batches, whole: bool):
     token, name, size = token[new], name[new], size[new]
     start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
     length = np.diff(np.r_[start, len(token)])
+    pieces = _among(token[start], heavy)
     pairs = []  # places of a and b
     for m in range(2, SHORT + 1):
-        rows = start[length == m]
+        rows = start[(length == m) & ~pieces]
         pairs += [(rows + i, rows + j) for i in range(m) for j in range(i + 1, m)]
-    far = np.flatnonzero(length > SHORT)
+    far = np.flatnonzero((length > SHORT) | pieces)
     begin = np.repeat(start[far], length[far])
     inside = np.arange(len(begin)) - np.repeat(np.cumsum(length[far]) - length[far], length[far]) + begin
     short = tuple(np.concatenate(x) for x in zip(*pairs))
@@ -259,10 +283,15 @@ def _lists(batches, whole: bool):
             a, b, na, nb = both[cut].T.copy()
             yield _arrow(kind=np.full(len(cut), kind, np.int32), a=a, b=b, na=na, nb=nb, v=count)
     if len(far):
-        # Lists of the same members are one list that counts several times.
+        # Lists of the same members are one list that counts several times; a piece goes by its token.
         mark = mixed(name[inside].view(np.uint64))
         cut = np.cumsum(length[far]) - length[far]
-        sign = mixed(np.add.reduceat(mark, cut) + length[far].astype(np.uint64)).view(np.int64)
+        sign = mixed(np.add.reduceat(mark, cut) + length[far].astype(np.uint64))
+        sign = np.where(pieces[far], token[start[far]], sign).view(np.int64)
+        own = far[pieces[far]]
+        if len(own):
+            zero = np.zeros(len(own), np.int64)
+            yield _arrow(kind=np.full(len(own), 3, np.int32), a=name[start[own]], b=token[start[own]].view(np.int64), na=size[start[own]], nb=zero, v=zero)
         sign, first, times = np.unique(sign, return_index=True, return_counts=True)
         for k in range(0, len(sign), 1000):
             at = np.concatenate([start[far[f]] + np.arange(length[far[f]]) for f in first[k:k + 1000]])
@@ -273,22 +302,35 @@ def _lists(batches, whole: bool):
 
 def index_pass(source: DataFrame, postings: int, whole: bool) -> DataFrame:
     """FOUND, over an index of ``source``: (doc_id, text), or (c, n, tokens) when whole."""
-    parts = max(parallelism(source.sparkSession), math.ceil(postings / PART_POSTINGS))
+    spark = source.sparkSession
+    parts = max(parallelism(spark), math.ceil(postings / PART_POSTINGS))
+    source = source.select("c", "n", "tokens") if whole else source.select("text")
 
-    def post(batches):
+    def runs_of(batches):
         shingler = Shingler()
         for batch in batches:
             if whole:
-                rows = batch.to_pylist()
-                tokens = np.concatenate([np.frombuffer(r["tokens"], np.uint64) for r in rows]) if rows else np.zeros(0, np.uint64)
-                runs = [(tokens, np.array([r["n"] for r in rows], np.int64), np.array([r["c"] for r in rows], np.int64))]
+                tokens = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64)
+                yield tokens, batch.column(1).to_numpy(), batch.column(0).to_numpy()
             else:
-                runs = ((t, n, classes_of(t, n)) for t, n in shingler.sets(_texts(batch.column(0))))
-            yield from _postings(_posted(runs, parts, whole))
+                for t, n in shingler.sets(_texts(batch.column(0))):
+                    yield t, n, classes_of(t, n)
 
-    source = source.select("c", "n", "tokens") if whole else source.select("text")
-    dealt = source.mapInArrow(post, POSTINGS).repartition(parts, "part")
-    return dealt.mapInArrow(lambda batches: _lists(batches, whole), FOUND)
+    def sampled(batches):
+        for tokens, lengths, names in runs_of(batches):
+            token, n = np.unique(_prefixes(tokens, lengths, names, whole)[0], return_counts=True)
+            yield _arrow(token=token.view(np.int64), n=n.astype(np.int64))
+
+    few = source.where(F.pmod(F.xxhash64("c" if whole else "text", F.lit(1)), F.lit(SAMPLED)) == 0)
+    seen = few.mapInArrow(sampled, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > HEAVY)
+    # At most BROADCAST_ROWS tokens can be this frequent.
+    seen = materialize(seen)
+    total = seen.agg(F.sum("n")).first()[0] or 0
+    often = seen.where(F.col("n") > total // BROADCAST_ROWS).select("token").toArrow().column(0).to_numpy() if total else np.zeros(0, np.int64)
+    heavy = spark.sparkContext.broadcast(np.sort(often.astype(np.int64).view(np.uint64)))
+
+    dealt = source.mapInArrow(lambda batches: _postings(_posted(runs_of(batches), parts, whole, heavy.value)), POSTINGS).repartition(parts, "part")
+    return dealt.mapInArrow(lambda batches: _lists(batches, heavy.value), FOUND)
 
 
 def _columns(n, whole):
@@ -362,8 +404,8 @@ def direct_search(sets: DataFrame) -> DataFrame:
 
     With all tokens in one order, two linked sets share one of the first n - T + 1 tokens of both. Tokens
     are ordered by the least set that has them, and sets meet in the groups of these: as the least of a
-    family leads most of its tokens, a set comes to few groups. A large group is cut into blocks, and
-    each pair of blocks is a group. In a group all members but those of its largest component are
+    family leads most of its tokens, a set comes to few groups. A large group is cut into blocks by its
+    number of tokens, and each pair of blocks is a group. In a group all members but those of its largest component are
     queries, and links that join nothing new are left out.
     """
     def exploded(batches):
@@ -379,9 +421,9 @@ def direct_search(sets: DataFrame) -> DataFrame:
     rows = rows.join(firsts, "token")
     leading = Window.partitionBy("c").orderBy("first", "token")
     rows = rows.withColumn("k", F.row_number().over(leading)).where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)
-    rows = materialize(rows.select("first", "c").distinct())
-    sizes = materialize(rows.groupBy("first").agg(F.ceil(F.count(F.lit(1)) / SEARCH_BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("m")).where("m > 1"))
-    rows = rows.join(sizes, "first")
+    rows = materialize(rows.select("first", "c", "n").distinct())
+    sizes = materialize(rows.groupBy("first").agg(F.ceil(F.sum("n") / SEARCH_TOKENS).cast("int").alias("blocks"), F.count(F.lit(1)).alias("m")).where("m > 1"))
+    rows = rows.drop("n").join(sizes, "first")
     blocks = F.col("blocks")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("c"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     groups = rows.select("first", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "c").join(sets, "c")
@@ -450,11 +492,18 @@ def _unsettled(found: DataFrame, labels: DataFrame, whole: bool) -> DataFrame:
 
 
 def _stars(found: DataFrame, whole: bool) -> DataFrame:
-    """a, b: for each set, the two firsts of long lists it shares most with. They only serve to settle lists early."""
+    """a, b: for each set, the two firsts of long lists it shares most with; for the firsts of pieces, the least of them.
+
+    They only serve to settle lists early.
+    """
     stars = found.where("kind = 2").groupBy("a", "b").agg(F.sum("v").alias("v"), F.min("na").alias("na"), F.min("nb").alias("nb"))
     stars = stars.where(2 * F.col("v") >= _columns(F.least("na", "nb"), whole))
     best = Window.partitionBy("b").orderBy(F.desc("v"), "a")
-    return materialize(stars.withColumn("k", F.row_number().over(best)).where("k <= 2").select("a", "b"))
+    stars = stars.withColumn("k", F.row_number().over(best)).where("k <= 2").select("a", "b")
+    firsts = found.where("kind = 3").select(F.col("b").alias("list"), "a")
+    least = firsts.groupBy("list").agg(F.min("a").alias("least"))
+    pieces = firsts.join(least, "list").where("a <> least").select(F.col("least").alias("a"), F.col("a").alias("b"))
+    return materialize(stars.unionByName(pieces).distinct())
 
 
 def _candidates(found: DataFrame, labels: DataFrame, whole: bool) -> DataFrame:
@@ -487,15 +536,15 @@ def joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
 
 def link_classes(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """c, component for the classes that link with another. sets: document_sets(docs), materialised."""
-    classes = materialize(sets.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")))
+    classes = materialize(sets.where("n > 0").groupBy("c").agg(F.min("x").alias("x"), F.max("n").alias("n")))
     postings = classes.agg(F.sum("n")).first()[0] or 0
-    reps = classes.select("doc_id", "c")
+    reps = classes.select("x", "c")
 
     def sets_of(*pairs: DataFrame) -> DataFrame:
         names = [p.select(F.col(side).alias("c")) for p in pairs for side in p.columns]
         names = materialize(functools.reduce(DataFrame.union, names).distinct())
         names = F.broadcast(names) if names.count() <= 10 * BROADCAST_ROWS else names
-        return materialize(whole_sets(docs, reps.join(names, "c", "left_semi").where("doc_id is not null")))
+        return materialize(whole_sets(docs, reps.join(names, "c", "left_semi")))
 
     def linked(found: DataFrame, labels: DataFrame | None, sets, whole: bool) -> DataFrame:
         stars = _stars(found, whole)
@@ -518,21 +567,44 @@ def link_classes(docs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def join_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text)."""
+    """doc_id, n_shingles, component_id, x (the key of its text) for each row of ``docs`` (doc_id, text)."""
     sets = materialize(document_sets(docs))
     labels = link_classes(docs, sets)
     classes = sets.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("rep"))
     named = classes.join(labels, "c", "left").select("c", "rep", F.coalesce("component", "c").alias("component"))
     named = materialize(named)
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = materialize(named.join(least, "component").select("c", "component_id"))
-    shown = sets.where("n > 0").join(named, "c").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    empty = sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    named = materialize(named.join(least, "component").select("c", "component", "component_id"))
+    shown = sets.where("n > 0").join(named, "c").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "x", F.col("component").alias("group"))
+    empty = sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "x", F.lit(None).cast("long").alias("group"))
     return shown.unionByName(empty)
 
 
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` but for those whose component has another row before them, by doc_id (null last), then by the text's key.
+
+    Of rows with one doc_id and one text the first by all their columns as text stays. Rows with an empty set all stay.
+    """
+    found = materialize(join_documents(docs).where("group is not null").select("group", "doc_id", "x"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), F.col("x"))
+    sizes = found.groupBy("group").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    sizes = materialize(sizes)
+    placed = found.select("group", place.alias("place")).groupBy("group", "place").agg(F.count(F.lit(1)).alias("rows")).join(sizes, "group")
+    copies = placed.where("place <> first or rows > 1").select(
+        F.col("place.last").alias("_last"), F.col("place.id").alias("_id"), F.col("place.x").alias("_x"), (F.col("place") == F.col("first")).alias("_first")
+    )
+    copies, number = counted(copies)
+    copies = F.broadcast(copies) if number <= 10 * BROADCAST_ROWS else copies  # short rows
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
+    keyed = docs.select(row, docs["doc_id"].isNull().alias("_last"), F.coalesce(docs["doc_id"].cast("long"), F.lit(0).cast("long")).alias("_id"), F.xxhash64(docs["text"]).alias("_x"))
+    keyed = keyed.join(copies, ["_last", "_id", "_x"], "left")
+    alone = keyed.where("_first is null").select("_row")
+    repeated = keyed.where("_first").groupBy("_last", "_id", "_x").agg(F.min_by("_row", F.to_json("_row")).alias("_row")).select("_row")
+    return alone.unionByName(repeated).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join_documents(read(spark, sf_dir, "documents"))
+    return join_documents(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 ORACLE = r"""
