@@ -8,10 +8,13 @@ Only expressions of shapes that occur among the rules (number of host labels, le
 made, so a URL of any length yields at most as many expressions as there are shapes, and prefixes
 need not end at a slash.
 
+The join knows 32 bits of a digest; the whole digests are compared afterwards, where a URL's matches are
+gathered. A URL is known by two hashes of itself, so that a lost executor changes nothing.
+
 Defined cases: a null URL or one without ``://`` has an empty host and path; rules with a null host
 are dropped, a null path is empty; repeated pages each get their row; an empty rule table gives every
-page the default; other columns of ``pages`` are passed through and must not be named host, path,
-rule or verdict (those are replaced).
+page the default; other columns of ``pages`` are passed through whatever their names, but for host, path,
+rule and verdict, which are replaced.
 """
 
 from __future__ import annotations
@@ -61,7 +64,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", pref
         F.max("verdict").alias("rule_verdict"),  # block sorts after allow
     ).withColumn("short", short(F.col("digest")))
 
-    pages = parse_url(pages.drop("host", "path", "rule", "verdict")).withColumn("_row", F.monotonically_increasing_id())
+    row = F.struct(*[pages[c] for c in pages.columns]).alias("_row")
+    pages, columns = parse_url(pages.select(row, pages["url"].alias("url"))), pages.columns
+    pages = pages.withColumns({"_u": F.xxhash64("url"), "_v": F.hash("url")})
     labels = F.split("host", r"\.")
     made = F.array(*[
         F.when(
@@ -70,14 +75,13 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", pref
         )
         for s in shapes
     ]) if shapes else F.array().cast("array<string>")
-    asked = pages.select("_row", F.explode(F.array_compact(made)).alias("asked")).withColumn("short", short(F.col("asked")))
-    fits = asked.join(listed, (asked["short"] == listed["short"]) & (asked["asked"] == listed["digest"]))
+    asked = pages.select("_u", "_v", F.explode(F.array_compact(made)).alias("asked")).withColumn("short", short(F.col("asked")))
+    met = asked.join(listed, "short")  # of 32 bits; inside the aggregate the comparison cannot become a key of the join
     order = F.struct(F.char_length("rule"), "host_length", "rule", "rule_verdict")
-    best = fits.groupBy("_row").agg(F.max(order).alias("best")).select("_row", "best.rule", "best.rule_verdict")
-    return (
-        pages.join(best, "_row", "left")
-        .withColumn("verdict", F.coalesce("rule_verdict", F.lit(default)))
-        .drop("_row", "rule_verdict")
+    best = met.groupBy("_u", "_v").agg(F.max(F.when(F.col("asked") == F.col("digest"), order)).alias("_best")).where("_best is not null")
+    kept = [F.col("_row").getField(c).alias(c) for c in columns if c not in ("host", "path", "rule", "verdict")]
+    return pages.join(best, ["_u", "_v"], "left").select(
+        *kept, "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.rule_verdict", F.lit(default)).alias("verdict")
     )
 
 
