@@ -9,12 +9,13 @@ components, and the links of each vector are then counted exactly among the memb
 in blocks of bounded size, so that a large group of near copies is never one task nor a list of pairs.
 
 Equal vectors are one vector with a weight until the end. Defined cases: a null, zero or non-finite
-vector, or one of an unusual length, links with nothing and is kept; of rows that share a vec_id the
+vector links with nothing and is kept; vectors of different lengths do not link; of rows that share a vec_id the
 least vector counts and one row is returned; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tickforge.llm._common import Shared, materialize, parallelism, read
 from tickforge.llm.components import components
-from tickforge.llm.vectors import each_group, matrix, usable
+from tickforge.llm.vectors import by_length, each_group, matrix, usable
 
 THRESHOLD, TREES, SPILL, GROUP, LEAF, SAMPLE, BLOCK = 0.9, 12, 0.06, 2048, 160, 65_536, 512
 
@@ -183,9 +184,9 @@ def dedup_vectors(table: DataFrame, threshold: float = THRESHOLD, trees: int = T
     vectors = materialize(usable(table))
     # Equal vectors are compared once.
     classes = materialize(vectors.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight")))
-    total = classes.count()
-    one = classes.select(F.col("rep").alias("vec_id"), "vec")
-    found = materialize(components(forest_links(one, total, threshold, trees)))
+    links = [forest_links(v, total, threshold, trees) for v, total in by_length(classes.select(F.col("rep").alias("vec_id"), "vec"))]
+    none = table.sparkSession.createDataFrame([], "a long, b long")
+    found = materialize(components(functools.reduce(DataFrame.unionByName, links, none)))
     sizes = materialize(found.groupBy("component").agg(F.count(F.lit(1)).alias("n_members")))
     members = found.join(sizes, "component").join(classes.withColumnRenamed("rep", "id"), "id")
     counted = count_links(members.select("component", "n_members", F.col("id").alias("vec_id"), "weight", "vec"), threshold)

@@ -9,8 +9,8 @@ shard: groups of (shard, query group) descend greedily through the layers and th
 ``EF`` nodes, all queries of a block in step. Shard results carry exact double-precision products and
 are merged by query.
 
-Defined cases: a null, zero or non-finite vector, or one of an unusual length, takes no part on
-either side; of rows that share a vec_id the least vector counts; a query never finds its own vec_id;
+Defined cases: a null, zero or non-finite vector takes no part on either side; a query's candidates are
+the vectors of its length; of rows that share a vec_id the least vector counts; a query never finds its own vec_id;
 with fewer than k candidates all are returned; ties go to the smaller vec_id; an empty table gives no rows.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickforge.llm._common import materialize, read
-from tickforge.llm.vectors import matrix, usable
+from tickforge.llm.vectors import by_length, matrix, usable
 
 SHARDS, SHARD_ROWS, QUERY_ROWS = 8, 16_384, 20_000
 LINKS, CANDIDATES, EF, BLOCK = 16, 48, 128, 256
@@ -191,8 +191,15 @@ def search(graphs: DataFrame, shards: int, queries: DataFrame, n_queries: int, k
     return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def nearest(table: DataFrame, every: int, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of each vector whose id is divisible by ``every``."""
+    out = table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for vectors, total in by_length(materialize(usable(table))):
+        queries = vectors.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "vec")
+        shards = max(SHARDS, math.ceil(total / SHARD_ROWS))
+        out = out.unionByName(search(index(vectors, shards), shards, queries, queries.count(), k))
+    return out
+
+
 def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = materialize(usable(read(spark, sf_dir, "embeddings")))
-    queries = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "vec")
-    shards = max(SHARDS, math.ceil(vectors.count() / SHARD_ROWS))
-    return search(index(vectors, shards), shards, queries, queries.count(), 20)
+    return nearest(read(spark, sf_dir, "embeddings"), 20, 20)

@@ -15,25 +15,30 @@ VECTORS = "vec_id long, vec binary"
 def usable(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """vec_id and vec, the float64 bytes of each vector that takes part; one row per vec_id.
 
-    Null and zero vectors, those with null or non-finite components, and those whose length is not
-    the most frequent one take no part; of rows that share a vec_id the least vector counts.
+    Null and zero vectors and those with null or non-finite components take no part; of rows that share
+    a vec_id the least vector counts. Vectors may differ in length; see by_length.
     """
     v = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
     v = v.where(F.col("vec_id").isNotNull()).groupBy("vec_id").agg(F.min("v").alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     v = v.where(F.col("v").isNotNull() & ~bad & F.exists("v", lambda x: x != 0))
-    sizes = v.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
-    v = v.where(F.size("v") == (sizes[0]["n"] if sizes else -1))
 
     def packed(batches):
         for b in batches:
             flat = b.column(1).flatten().to_numpy(zero_copy_only=False)
-            rows = flat.reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, 0))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], names=["vec_id", "vec"])
+            ends = np.cumsum(b.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            rows = [r.tobytes() for r in np.split(flat, ends[:-1])] if b.num_rows else []
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["vec_id", "vec"])
 
     return v.mapInArrow(packed, VECTORS)
 
 
+def by_length(vectors: DataFrame) -> list[tuple[DataFrame, int]]:
+    """The vectors of each length and their number: only vectors of one length are compared. A pass for each length."""
+    sizes = vectors.groupBy(F.octet_length("vec").alias("n")).count().orderBy("n").collect()
+    return [(vectors.where(F.octet_length("vec") == r["n"]), r["count"]) for r in sizes]
+
+
 def matrix(column) -> np.ndarray:
     """The float64 rows of a column of packed vectors."""
     items = column.to_pylist()
