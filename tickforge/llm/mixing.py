@@ -10,7 +10,9 @@ Every step is deterministic in (doc_id, text, seed).
 
 Defined cases: a null text has no words; a null source is a source of its own; a source without words
 has target 0 and takes nothing; repeated rows are separate documents; an empty table gives no rows;
-further columns are passed through by ``mix`` and not read.
+further columns are passed through by ``mix`` whatever their names, and not read. ``mix`` gives each row its own
+copies; among rows equal in doc_id, source and text, which the copies do not tell apart, it shares their
+sum evenly, the first by their columns as text ahead (such rows meet in one sort).
 """
 
 from __future__ import annotations
@@ -55,9 +57,9 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, volume=VOLUME, cap=CAP) ->
 
 
 def copies(docs: DataFrame, weights=WEIGHTS, volume=VOLUME, cap=CAP, seed=SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies (long) for each row of ``docs``."""
+    """doc_id, source, size, source_size, target, copies (long), x (a hash of the text) for each row of ``docs``."""
     base = materialize(docs.select(
-        "doc_id", "source", word_count(F.col("text")).alias("size"),
+        "doc_id", "source", F.xxhash64("text").alias("x"), word_count(F.col("text")).alias("size"),
         F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long").alias("h"),
     ))
     sums = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
@@ -68,7 +70,7 @@ def copies(docs: DataFrame, weights=WEIGHTS, volume=VOLUME, cap=CAP, seed=SEED)
     base = base.withColumn("cls", size_class(F.col("size")))
     base = materialize(
         base.alias("b").join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source")))
-        .select("b.doc_id", "b.source", "b.size", "b.h", "b.cls", "t.src", "t.source_size", "t.target")
+        .select("b.doc_id", "b.source", "b.x", "b.size", "b.h", "b.cls", "t.src", "t.source_size", "t.target")
     )
     classes = base.groupBy("src", "cls").agg(F.count(F.lit(1)).alias("n"))
     below = Window.partitionBy("src").orderBy("cls").rowsBetween(Window.unboundedPreceding, -1)
@@ -80,16 +82,26 @@ def copies(docs: DataFrame, weights=WEIGHTS, volume=VOLUME, cap=CAP, seed=SEED)
     offset = F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
     each = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
     crossed = F.floor(offset + (place + 1) * each) - F.floor(offset + place * each)
-    return base.select("doc_id", "source", "size", "source_size", "target", crossed.cast("long").alias("copies"))
+    return base.select("doc_id", "source", "size", "source_size", "target", crossed.cast("long").alias("copies"), "x")
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs``, each repeated as often as the mix takes it. doc_id should be unique."""
-    taken = copies(docs, **how).where("copies > 0").select("doc_id", "copies").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    return (
-        docs.join(taken, docs["doc_id"].eqNullSafe(taken["doc_id"])).drop(taken["doc_id"])
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).drop("_copies", "_copy")
-    )
+    """The rows of ``docs``, each repeated as often as the mix takes it."""
+    key = ["_i", "_s", "_x"]
+    taken = copies(docs, **how).groupBy(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("x").alias("_x"))
+    taken = taken.agg(F.sum("copies").alias("_sum"), F.count(F.lit(1)).alias("_rows")).where("_sum > 0")
+    taken = taken.select(*[F.col(c).alias(f"{c}t") for c in key], "_sum", "_rows")
+    same = F.lit(True)
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}t"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["doc_id"].alias("_i"), docs["source"].alias("_s"), F.xxhash64(docs["text"]).alias("_x"))
+    rows = rows.join(taken, same)
+    alone = rows.where("_rows = 1").select("_row", F.col("_sum").alias("_n"))
+    number = F.row_number().over(Window.partitionBy(*key).orderBy(F.to_json("_row")))
+    again = rows.where("_rows > 1").withColumn("_k", number)
+    again = again.select("_row", F.expr("_sum div _rows + cast(_k <= _sum % _rows as int)").alias("_n")).where("_n > 0")
+    out = alone.unionByName(again).select("_row", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
+    return out.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
