@@ -59,6 +59,10 @@ def _count(batches):
 def sample_counts(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """lang, gram, n: the n-grams of the training sample."""
     ids = docs.where((fold() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "doc_id").distinct()
+    # Only ids whose hash is low enough to be among some times ``sample`` of their language are ordered.
+    many = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    bound = F.lit(-(2.0**63)) + F.lit(2.0**64) * F.least(F.lit(1.0), F.lit(4.0 * sample + 100) / F.col("_n"))
+    ids = ids.join(many, "lang").where(F.xxhash64("doc_id").cast("double") <= bound).drop("_n")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = ids.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= sample).select("lang", "doc_id")
     # At most ``sample`` rows a language.
