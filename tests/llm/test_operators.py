@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tickforge.llm import catalog, chat, language_id, line_dedup, mixing, ngram_join, packing, sharding, url_filter, vector_dedup, vector_search
+from tickforge.llm import catalog, chat, components, language_id, line_dedup, mixing, ngram_join, packing, sharding, url_filter, vector_dedup, vector_search
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -49,6 +49,25 @@ def test_url_filter_against_brute_force(spark):
         assert (rule if isinstance(rule, str) else None, verdict) == (max(fits)[2:] if fits else (None, "allow"))
 
 
+def test_url_filter_keeps_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/", 7, 8, 9, "x"), (1, "http://a.com/", 7, 8, 9, "x")], "page_id long, url string, _row int, rule_verdict int, _u int, short string")
+    table = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
+    got = url_filter.filter_urls(pages, table)
+    assert [tuple(r) for r in got.collect()] == [(1, "http://a.com/", 7, 8, 9, "x", "a.com", "/", "com/", "allow")] * 2
+
+
+def test_url_filter_joins_on_the_short_prefix_and_confirms(spark):
+    """With 4 bits nearly all expressions meet wrong rules, and none of these may count."""
+    urls = [f"http://h{k}.{d}.example.{e}/{p}/{k}" for k in range(40) for d in ("a", "www") for e in ("com", "net") for p in ("en", "es", "x")]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    table = spark.createDataFrame(url_filter.RULES + [(f"h{k}.a.example.com", "/x/", "block") for k in range(20)], "host string, path string, verdict string")
+    few, all_bits = (sorted(map(tuple, url_filter.filter_urls(pages, table, prefix_bits=n).collect())) for n in (4, 32))
+    assert few == all_bits
+    plan = url_filter.filter_urls(pages, table)._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"Join \[([^\]]*)\]", plan)
+    assert any(k.startswith("short#") for k in keys) and not any("asked" in k or "digest" in k for k in keys)
+
+
 def test_url_filter_empty(spark):
     none = spark.createDataFrame([], "page_id long, url string")
     rules = spark.createDataFrame([], "host string, path string, verdict string")
@@ -77,6 +96,16 @@ def test_mixing_targets_and_totals(spark):
     assert mixing.mix(docs).columns == docs.columns
 
 
+def test_mix_repeats_each_row_as_often_as_it_is_taken(spark):
+    rows = [(1, "one two three", "a", k, 1) for k in range(4)] + [(1, "other text of its own", "a", 9, 1), (None, "x y", None, 5, 2), (None, "x y", None, 6, 2), (7, "long " * 200_000, "b", 7, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _copies long, size long")
+    got = mixing.mix(docs)
+    assert got.columns == docs.columns
+    taken = mixing.copies(docs).groupBy("doc_id", "source", "x").agg(F.sum("copies").alias("n")).collect()
+    assert got.count() == sum(r["n"] for r in taken)
+    assert got.groupBy(*docs.columns).count().agg(F.max("count")).first()[0] <= 2
+
+
 def test_mixing_empty(spark):
     assert mixing.copies(documents(spark, [])).count() == 0
     assert mixing.copies(documents(spark, [None, ""])).agg(F.sum("copies")).first()[0] == 0
@@ -388,10 +417,31 @@ def test_ngram_join_against_brute_force(spark, seed, short):
 
 def test_ngram_join_with_lists_that_are_all_long(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "SHORT", 2)
-    monkeypatch.setattr(ngram_join, "SEARCH_BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "SEARCH_TOKENS", 800)
     test_ngram_join_against_brute_force(spark, 4, 10)
 
 
+@pytest.mark.parametrize("seed,short", [(1, 12), (4, 10)])
+def test_ngram_join_with_lists_in_pieces(spark, monkeypatch, seed, short):
+    monkeypatch.setattr(ngram_join, "SAMPLED", 1)
+    monkeypatch.setattr(ngram_join, "HEAVY", 4)
+    test_ngram_join_against_brute_force(spark, seed, short)
+
+
+def test_ngram_join_nulls_repeats_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CHUNK", 1 << 14)
+    long = words(30_000, 5, 10**6)  # far over CHUNK
+    near = " ".join(long[:-50] + words(50, 6))
+    rows = [(None, " ".join(long), 1), (3, near, 1), (3, near, 2), (3, "three other words", 3), (None, "quite alone in here", 4), (5, "Three other WORDS", 5), (6, None, 6), (6, None, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id long")
+    got = sorted(((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in ngram_join.join_documents(docs).collect()), key=str)
+    n = len(shingles(near))
+    assert got == sorted([(0, len(shingles(" ".join(long))), 3), (3, n, 3), (3, n, 3), (3, 1, 3), (0, 1, None), (5, 1, 3), (6, 0, 6), (6, 0, 6)], key=str)
+    kept = ngram_join.drop_copies(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["component_id"] for r in kept.collect()) == [1, 3, 4, 6, 6]
+
+
 def test_divide_skip():
     rng = np.random.default_rng(0)
     for _ in range(50):
@@ -419,7 +469,7 @@ def vectors(spark, n=1500, d=16, seed=0):
     x[50:90] = x[50] + rng.normal(size=(40, d)) * 0.1
     x[10] = x[11]
     rows = [(k, v.tolist(), 1) for k, v in enumerate(x)]
-    bad = [(n, None, 0), (n + 1, [0.0] * d, 0), (n + 2, [None] + [1.0] * (d - 1), 0), (n + 3, [float("nan")] * d, 0), (n + 4, [float("inf")] + [1.0] * (d - 1), 0), (n + 5, [1.0] * (d - 1), 0), (n + 6, [], 0)]
+    bad = [(n, None, 0), (n + 1, [0.0] * d, 0), (n + 2, [None] + [1.0] * (d - 1), 0), (n + 3, [float("nan")] * d, 0), (n + 4, [float("inf")] + [1.0] * (d - 1), 0), (n + 5, [1.0] + [-1.0] * (d - 2), 0), (n + 6, [], 0)]
     return x, spark.createDataFrame(rows + bad + rows[:3], "vec_id long, embedding array<double>, component_id int")
 
 
@@ -445,7 +495,7 @@ def test_vector_dedup_against_brute_force(spark, monkeypatch):
 
 def test_vector_search_recall(spark):
     x, table = vectors(spark)
-    clean = vector_search.usable(table).cache()
+    clean = max(vector_search.by_length(vector_search.usable(table).cache()), key=lambda v: v[1])[0]
     q = clean.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "vec")
     got = vector_search.search(vector_search.index(clean, 3), 3, q, q.count(), 20).toPandas()
     hits = 0
@@ -460,6 +510,31 @@ def test_vector_search_recall(spark):
     assert hits / (20 * got["query_id"].nunique()) >= 0.9
 
 
+def test_vectors_of_other_lengths_are_groups_of_their_own(spark):
+    rows = [(k, [1.0, float(k), 0.0, 2.0]) for k in range(6)] + [(20, [1.0, 0.0]), (40, [1.0, 0.0]), (60, [0.0, 3.0]), (61, [5.0]), (61, [5.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: tuple(r)[1:] for r in vector_dedup.dedup_vectors(table).collect()}
+    assert got[20] == (1, 20, True) and got[40] == (1, 20, False) and got[60] == (0, 60, True) and got[61] == (0, 61, True)
+    found = sorted(map(tuple, vector_search.nearest(table, 20, 2).collect()))
+    assert [f for f in found if f[0] == 20] == [(20, 1, 40, 1.0), (20, 2, 60, 0.0)] and [f for f in found if f[0] == 60] == [(60, 1, 20, 0.0), (60, 2, 40, 0.0)]
+    assert len([f for f in found if f[0] == 0]) == 2 and {f[0] for f in found} == {0, 20, 40, 60}
+
+
+def test_vector_search_query_against_brute_force(spark, sf):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    got = vector_search.op2_nearest_neighbours(spark, sf).toPandas()
+    hits = total = 0
+    for q in ids[ids % 20 == 0]:
+        s = x @ x[ids == q][0]
+        s[ids == q] = -np.inf
+        best = np.lexsort((ids, -s))[:20]
+        g = got[got["query_id"] == q].sort_values("rank")
+        assert g["rank"].tolist() == list(range(1, len(g) + 1))
+        hits, total = hits + len(set(ids[best]) & set(g["vec_id"])), total + min(20, len(ids) - 1)
+    assert hits / total >= 0.99
+
+
 def test_vector_search_with_few_candidates(spark):
     _, table = vectors(spark, 1500)
     few = vector_search.usable(table).where("vec_id < 5").cache()
@@ -496,3 +571,27 @@ def test_chat_edges(spark):
     ids = Counter(made["chosen_id"].fillna(-1).astype(int).tolist() + made[made["paired"]]["rejected_id"].fillna(-1).astype(int).tolist())
     assert ids == Counter([1, 2, 3, 4, 5, 6, -1])
     assert chat.pairs_by_opening(chat.conversations(df.where("conv_id > 100"))).count() == 0
+
+
+# Components ------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
+    rng = np.random.default_rng(few % 7)
+    links = [(int(a), int(b)) for a, b in rng.integers(300, size=(150, 2))] + [(k, k + 1) for k in range(1000, 1060)] + [(2000, k) for k in range(2001, 2050)] + [(7, 7), (5, 5), (5, 5)]
+    label = {}
+    for a, b in links:
+        if a != b:
+            label.setdefault(a, a), label.setdefault(b, b)
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            if a != b and label[a] != label[b]:
+                label[a] = label[b] = min(label[a], label[b])
+                changed = True
+    got = components.components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert sorted((r["id"], r["component"]) for r in got) == sorted(label.items())
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
