@@ -134,3 +134,24 @@ def test_matrix_flag_against_a_loop(spark):
     assert len(got) == 17
     with pytest.raises(ValueError):
         labeling.matrix_flag(df, 10, "triangle")
+
+
+def test_holding_periods(spark):
+    from tickforge.operators import backtest
+
+    rows = [(name, f"2020-01-{k + 1:02d}", float(x)) for name, xs in {
+        "a": [1, 1, 0, -1, -1, -1, 0, 0], "open": [0, 1, 1], "flat": [0, 0], "turned": [1, 1.5, 0.5, 0, -0.5, -1, 0.5, 1.5, 1.5, 0],
+    }.items() for k, x in enumerate(xs)]
+    df = spark.createDataFrame(rows, "symbol string, ts string, position double").selectExpr("symbol", "cast(ts as timestamp) ts", "position")
+    got = {r["symbol"]: r["days"] for r in backtest.average_holding_period(df).collect()}
+    assert got == {"a": 2.5, "open": None, "flat": None, "turned": (1 + 1 + 1 + 1 + 1 + 1 + 2) / 7}
+
+
+def test_matrix_flag_label_takes_ties(spark):
+    from tickforge.operators import labeling
+
+    df = spark.createDataFrame([("s", k, k, float(k % 7)) for k in range(60)], "symbol string, ts int, seq int, close double")
+    scores = {r["seq"]: r["score"] for r in labeling.matrix_flag(df, 10, "leigh_bull").collect()}
+    cut = sorted(scores.values())[len(scores) // 2]
+    got = {r["seq"]: r["label"] for r in labeling.matrix_flag(df, 10, "leigh_bull", cut).collect()}
+    assert got == {k: 1 if v >= cut else -1 for k, v in scores.items()} and any(v == cut for v in scores.values())

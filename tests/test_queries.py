@@ -41,13 +41,8 @@ def test_online_selection_takes_every_strategy_and_week(spark, sf):
     assert {r["dates"] for r in got} == {whole}
 
 
-@pytest.mark.parametrize("name", ["vertical_barrier", "triple_barrier", "barrier_bins", "concurrency", "average_uniqueness", "weights_by_return", "weights_by_time_decay"])
-def test_barriers_of_every_bar(name, spark, sf, same_as_sql):
-    same_as_sql(QUERIES[f"{name}_every_bar"](spark, sf).toPandas(), ORACLES[name].replace(" where seq % 5 = 0", ""))
-
-
 def test_sequential_bootstrap_draws_from_every_bar(spark, sf):
-    labels = QUERIES["vertical_barrier_every_bar"](spark, sf).count()
+    labels = QUERIES["vertical_barrier"](spark, sf).count()
     assert QUERIES["sequential_bootstrap"](spark, sf).count() == labels
 
 

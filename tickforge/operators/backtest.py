@@ -23,6 +23,23 @@ def flips_and_flattenings(positions: DataFrame) -> DataFrame:
 
 
 def average_holding_period(positions: DataFrame) -> DataFrame:
+    """symbol, days: the mean time from one change of a position to the next, while it is not zero.
+
+    Null if the last position is open, or none was ever held.
+    """
+    w = Window.partitionBy("symbol").orderBy("ts")
+    p = positions.select("symbol", "ts", "position").withColumns({"_before": F.lag("position").over(w), "_first": F.row_number().over(w) == 1, "_next": F.lead("ts").over(w)})
+    changes = p.where(F.col("_first") | ~F.col("position").eqNullSafe(F.col("_before")) | F.col("_next").isNull())
+    changes = changes.withColumn("_until", F.lead("ts").over(w))
+    days = (F.unix_micros(F.col("_until").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 86_400_000_000.0
+    new = F.col("_first") | ~F.col("position").eqNullSafe(F.col("_before"))
+    # The last row closes the span before it; as a row that changed nothing it begins none.
+    held = F.avg(F.when(new & (F.col("position") != 0) & F.col("_until").isNotNull(), days))
+    last = F.max(F.when(F.col("_next").isNull(), F.col("position")))
+    return changes.groupBy("symbol").agg(held.alias("_held"), last.alias("_last")).select("symbol", F.when(F.col("_last") == 0, F.col("_held")).alias("days"))
+
+
+def weighted_holding_period(positions: DataFrame) -> DataFrame:
     """symbol, days: the size-weighted mean time between opening and closing, null if nothing closed.
 
     Entry times average in as positions grow; that is an ordered fold over the changes.

@@ -211,7 +211,7 @@ def matrix_flag(close: DataFrame, window: int, template: str | list[list[float]]
     """symbol, ts, seq, score: how the previous ``window`` closes, as a 10 by 10 picture, fit a template.
 
     Row r of the picture is decile 9 - r of the prices, column c the c-th tenth of the time. With a
-    threshold the label (1 or -1) is added. The template is a name in TEMPLATES, or a 10 by 10 table with its upper row first.
+    threshold the label is added: 1 for a score that reaches it, else -1. The template is a name in TEMPLATES, or a 10 by 10 table with its upper row first.
     """
     if isinstance(template, str) and template not in TEMPLATES:
         raise ValueError(f"template is one of {', '.join(TEMPLATES)}, or a table")
@@ -232,5 +232,5 @@ def matrix_flag(close: DataFrame, window: int, template: str | list[list[float]]
 
     scored = rows.withColumn("score", score("_y")).drop("_y")
     if threshold is not None:
-        scored = scored.withColumn("label", F.when(F.col("score") > threshold, 1).otherwise(-1))
+        scored = scored.withColumn("label", F.when(F.col("score") >= threshold, 1).otherwise(-1))
     return scored

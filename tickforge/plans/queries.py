@@ -210,16 +210,16 @@ def tail_sets(spark, sf_dir):
     return labeling.tail_sets(panel(spark, sf_dir), 3)
 
 
-def barrier_events(spark, sf_dir, step=5):
-    """Every step-th bar, as the SQL has it every fifth: an event with the barrier two days on, a target of 0.5 and alternating sides."""
+def barrier_events(spark, sf_dir):
+    """Every bar is an event with the barrier two days on, a target of 0.5 and alternating sides."""
     b = tick_bars_of(spark, sf_dir).where("close > 0")
-    e = b.where(F.col("seq") % step == 0).select("symbol", F.col("seq").alias("event_id"), F.col("ts").alias("t0"), F.lit(0.5).alias("trgt"), F.when(F.col("seq") % 2 == 0, 1.0).otherwise(-1.0).alias("side"))
+    e = b.select("symbol", F.col("seq").alias("event_id"), F.col("ts").alias("t0"), F.lit(0.5).alias("trgt"), F.when(F.col("seq") % 2 == 0, 1.0).otherwise(-1.0).alias("side"))
     close = b.select("symbol", "ts", "seq", "close")
     return labeling.add_vertical_barrier(e, close, days=2), close
 
 
 EVENTS = f"""{BARS}, c as (select * from b where close > 0),
-e0 as (select symbol, seq as event_id, ts as t0, 0.5::double as trgt, case when seq % 2 = 0 then 1.0 else -1.0 end::double as side from c where seq % 5 = 0),
+e0 as (select symbol, seq as event_id, ts as t0, 0.5::double as trgt, case when seq % 2 = 0 then 1.0 else -1.0 end::double as side from c),
 e as (select e0.*, (select min(c.ts) from c where c.symbol = e0.symbol and c.ts >= e0.t0 + interval 2 day) as t1 from e0),
 ev as (select * from e where t1 is not null)"""
 TOUCHED = f"""{EVENTS},
@@ -230,21 +230,21 @@ touched as (select symbol, event_id, t0, trgt, side, t1 as v, min(case when r >
 
 
 @query(f"with {EVENTS} select symbol, event_id, t0, t1 from ev")
-def vertical_barrier(spark, sf_dir, step=5):
-    return barrier_events(spark, sf_dir, step)[0].select("symbol", "event_id", "t0", "t1")
+def vertical_barrier(spark, sf_dir):
+    return barrier_events(spark, sf_dir)[0].select("symbol", "event_id", "t0", "t1")
 
 
 @query(f"with {TOUCHED} select symbol, event_id, t0, least(v, coalesce(pt_at, v), coalesce(sl_at, v)) as t1, pt_at, sl_at from touched")
-def triple_barrier(spark, sf_dir, step=5):
-    e, close = barrier_events(spark, sf_dir, step)
+def triple_barrier(spark, sf_dir):
+    e, close = barrier_events(spark, sf_dir)
     return labeling.triple_barrier(e, close, 1.0, 1.0).select("symbol", "event_id", "t0", "t1", "pt_at", "sl_at")
 
 
 @query(f"""with {TOUCHED}, f as (select *, least(v, coalesce(pt_at, v), coalesce(sl_at, v)) as t1 from touched),
 g as (select f.*, (ln(b1.close) - ln(b0.close)) * side as r from f join c b0 on b0.symbol = f.symbol and b0.ts = f.t0 join c b1 on b1.symbol = f.symbol and b1.ts = f.t1)
 select symbol, event_id, exp(r) - 1 as ret, case when r <= 0 then 0 when r > ln(1 + trgt) then 1 else 0 end as bin from g""")
-def barrier_bins(spark, sf_dir, step=5):
-    e, close = barrier_events(spark, sf_dir, step)
+def barrier_bins(spark, sf_dir):
+    e, close = barrier_events(spark, sf_dir)
     return labeling.get_bins(labeling.triple_barrier(e, close, 1.0, 1.0), close).select("symbol", "event_id", "ret", "bin")
 
 
@@ -478,8 +478,8 @@ def sadf(spark, sf_dir):
 # Samples ---------------------------------------------------------------------------------------------
 
 
-def intervals(spark, sf_dir, step=5):
-    e, close = barrier_events(spark, sf_dir, step)
+def intervals(spark, sf_dir):
+    e, close = barrier_events(spark, sf_dir)
     return e.select("symbol", F.col("event_id").alias("label_id"), "t0", "t1"), close
 
 
@@ -487,23 +487,23 @@ CONC = f"""{EVENTS}, conc as (select c.symbol, c.ts, c.close, c.seq, (select cou
 
 
 @query(f"with {CONC} select distinct symbol, ts, n from conc")
-def concurrency(spark, sf_dir, step=5):
-    labels, close = intervals(spark, sf_dir, step)
+def concurrency(spark, sf_dir):
+    labels, close = intervals(spark, sf_dir)
     return sampling.concurrency(close, labels)
 
 
 @query(f"""with {CONC}, rw as (select distinct symbol, ts, n from conc where n > 0)
 select ev.symbol, ev.event_id as label_id, avg(1.0 / rw.n) as uniqueness from ev join rw on rw.symbol = ev.symbol and rw.ts between ev.t0 and ev.t1 group by all""")
-def average_uniqueness(spark, sf_dir, step=5):
-    labels, close = intervals(spark, sf_dir, step)
+def average_uniqueness(spark, sf_dir):
+    labels, close = intervals(spark, sf_dir)
     return sampling.average_uniqueness(close, labels)
 
 
 @query(f"""with {CONC}, lr as (select symbol, ts, n, ln(close / lag(close) {W}) as r from conc),
 s as (select ev.symbol, ev.event_id as label_id, abs(sum(case when lr.n > 0 then coalesce(lr.r, 0) / lr.n else 0 end)) as x from ev join lr on lr.symbol = ev.symbol and lr.ts between ev.t0 and ev.t1 group by all)
 select symbol, label_id, x * count(*) over (partition by symbol) / sum(x) over (partition by symbol) as weight from s""")
-def weights_by_return(spark, sf_dir, step=5):
-    labels, close = intervals(spark, sf_dir, step)
+def weights_by_return(spark, sf_dir):
+    labels, close = intervals(spark, sf_dir)
     return sampling.weights_by_return(close, labels)
 
 
@@ -511,29 +511,18 @@ def weights_by_return(spark, sf_dir, step=5):
 u as (select ev.symbol, ev.event_id as label_id, avg(1.0 / rw.n) as u from ev join rw on rw.symbol = ev.symbol and rw.ts between ev.t0 and ev.t1 group by all),
 q as (select *, sum(u) over (partition by symbol order by label_id rows between unbounded preceding and current row) as s, sum(u) over (partition by symbol) as t from u)
 select symbol, label_id, greatest(0, 1 - (0.5 / t) * t + (0.5 / t) * s) as weight from q""")
-def weights_by_time_decay(spark, sf_dir, step=5):
-    labels, close = intervals(spark, sf_dir, step)
+def weights_by_time_decay(spark, sf_dir):
+    labels, close = intervals(spark, sf_dir)
     u = sampling.average_uniqueness(close, labels)
     return sampling.weights_by_time_decay(u, "label_id", 0.5).select("symbol", "label_id", "weight")
 
 
 @query()
 def sequential_bootstrap(spark, sf_dir):
-    labels, close = intervals(spark, sf_dir, 1)
+    labels, close = intervals(spark, sf_dir)
     return sampling.bootstrap_by_symbol(labels, close)
 
 
-def _every_bar(f):
-    def run(spark, sf_dir):
-        return f(spark, sf_dir, step=1)
-
-    return run
-
-
-for _f in (vertical_barrier, triple_barrier, barrier_bins, concurrency, average_uniqueness, weights_by_return, weights_by_time_decay):
-    QUERIES[f"{_f.__name__}_every_bar"] = _every_bar(_f)
-
-
 def info_rows(spark, sf_dir):
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.col("o_orderdate").cast("timestamp_ntz").alias("t0")).agg(F.count(F.lit(1)).alias("n"))
     w = Window.orderBy("t0")  # one row a day
@@ -632,9 +621,18 @@ def flips_and_flattenings(spark, sf_dir):
     return backtest.flips_and_flattenings(held(spark, sf_dir))
 
 
-@query()
+@query(f"""with {HELD}, closed as (select symbol, ts, case when lead(ts) over (partition by symbol order by ts) is null then 0.0 else position end as position from held),
+k as (select symbol, ts, position, row_number() over v as i, lag(position) over v as before, lead(ts) over v as nxt from closed window v as (partition by symbol order by ts)),
+g as (select *, sum(case when i = 1 or position is distinct from before then 1 else 0 end) over (partition by symbol order by ts) as island from k),
+spans as (select symbol, island, min(ts) as a, any_value(position) as position from g group by all),
+ends as (select *, lead(a) over (partition by symbol order by a) as z from spans),
+last as (select symbol, max(position) filter (nxt is null) as final, max(ts) as t from k group by symbol)
+select e.symbol, case when max(l.final) = 0 then avg(case when e.position <> 0 then (epoch(z) - epoch(a)) / 86400.0 end) end as days
+from ends e join last l using (symbol) group by e.symbol""")
 def holding_periods(spark, sf_dir):
-    return backtest.average_holding_period(held(spark, sf_dir))
+    # All positions are closed on their last date.
+    last = F.lead("ts").over(Window.partitionBy("symbol").orderBy("ts")).isNull()
+    return backtest.average_holding_period(held(spark, sf_dir).withColumn("position", F.when(last, 0.0).otherwise(F.col("position"))))
 
 
 @query(f"""with {HELD}, t as (select *, max(price) over (partition by symbol order by ts rows between unbounded preceding and current row) as top from held),
@@ -664,7 +662,7 @@ def bets_concentration(spark, sf_dir):
 @query()
 def sharpe_haircuts(spark, sf_dir):
     r = backtest.ratios(held(spark, sf_dir), 52).agg(F.max("sharpe").alias("s"), F.max("n").alias("n")).first()
-    cuts = backtest.haircut("W", r["n"], r["s"], True, True, 0.0, 10, 0.2, simulations=50)
+    cuts = backtest.haircut("W", r["n"], r["s"], True, True, 0.0, 10, 0.2, simulations=2000)
     return spark.createDataFrame([(k, *map(float, v)) for k, v in cuts.items()], "method string, p double, sharpe double, haircut double")
 
 
