@@ -70,7 +70,7 @@ def zero_prices(tmp_path):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["cusum_filter"])
+@pytest.mark.parametrize("name", ["cusum_filter", "trend_scanning"])
 def test_closes_of_zero(name, spark, zero_prices):
     import duckdb
     from conftest import rows

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickforge.functions.rolling import full
+from tickforge.functions.rolling import full, ratio
 
 SLOT = 86_400
 
@@ -183,7 +183,7 @@ def trend_scanning(close: DataFrame, look_forward: int = 20, min_length: int = 5
     end = F.col("_best.k")
     return rows.select(
         "symbol", "ts", "seq", F.element_at("_t", end).alias("t1"), F.col("_best.t").alias("tvalue"),
-        (F.element_at("_y", end) / F.col("close") - 1).alias("ret"), F.signum("_best.t").cast("int").alias("bin"),
+        (ratio(F.element_at("_y", end), F.col("close")) - 1).alias("ret"), F.signum("_best.t").cast("int").alias("bin"),
     )
 
 
