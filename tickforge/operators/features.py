@@ -219,8 +219,9 @@ def bar_features(ticks: DataFrame, ends: DataFrame, volume_letters: dict | None
     marks = ends.select("symbol", F.col("tick_num").alias("_at"), F.lit(1).alias("_k"), F.col("bar_id").alias("_bar"))
     rows = ticks.withColumns({"_at": F.col("tick_num"), "_k": F.lit(0), "_bar": F.lit(None).cast("long")})
     blank = [F.col(c) if c in marks.columns else F.lit(None).cast(t).alias(c) for c, t in rows.dtypes]
-    ahead = Window.partitionBy("symbol").orderBy("_at", "_k").rowsBetween(0, Window.unboundedFollowing)
-    t = rows.unionByName(marks.select(*blank)).withColumn("bar_id", F.first("_bar", ignorenulls=True).over(ahead)).where("_k = 0 and bar_id is not null").drop("_at", "_k", "_bar")
+    # Backwards: a frame to its unbounded end is evaluated anew for each row.
+    ahead = Window.partitionBy("symbol").orderBy(F.desc("_at"), F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0)
+    t = rows.unionByName(marks.select(*blank)).withColumn("bar_id", F.last("_bar", ignorenulls=True).over(ahead)).where("_k = 0 and bar_id is not null").drop("_at", "_k", "_bar")
     w = ordered()
     t = t.withColumns({"_r": log_return(F.col("price"), w)})
     in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("ts", "seq", F.col(c).alias("x")))), lambda s: s["x"])
