@@ -79,3 +79,53 @@ def test_closes_of_zero(name, spark, zero_prices):
     c.sql("set timezone = 'UTC'")
     c.sql(f"create view events as select * from '{zero_prices}/events.parquet'")
     assert rows(QUERIES[name](spark, zero_prices).toPandas()) == rows(c.sql(ORACLES[name]).df())
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_nothing_is_evaluated_anew_to_the_end_of_a_symbol(spark, sf):
+    """Frames from a row to the unbounded end cost the square of a symbol's rows, and an exploded join the labels' lengths."""
+    from tickforge.operators import labeling
+    from tickforge.plans.queries import barrier_events
+
+    e, close = barrier_events(spark, sf)
+    assert "unboundedfollowing" not in plan_of(e)
+    assert "unboundedfollowing" not in plan_of(QUERIES["bar_features"](spark, sf))
+    assert "explode" not in plan_of(labeling.triple_barrier(e, close, 1.0, 1.0))
+
+
+def test_triple_barrier_by_brute_force(spark):
+    import numpy as np
+    from tickforge.operators import labeling
+
+    rng = np.random.default_rng(5)
+    t = lambda k: np.datetime64("2024-01-01", "us") + np.timedelta64(int(k), "h")
+    closes = [("ab"[k % 2], t(k // 3), k, float(x)) for k, x in enumerate(rng.integers(1, 40, 300))]
+    first = {}
+    for s, ts, k, x in closes:
+        first[s, ts] = x  # the last by seq
+    events = []
+    for n, ((s, ts), p) in enumerate(sorted(first.items())):
+        events.append((s, n, ts, None if n % 9 == 0 else ts + np.timedelta64(int(rng.integers(0, 30)), "h"), [0.5, 0.25, 1.0][n % 3], [None, 1.0, -1.0, 0.5][n % 4]))
+    schema = "symbol string, ts timestamp_ntz, seq long, close double"
+    close = spark.createDataFrame([(s, ts.item(), k, x) for s, ts, k, x in closes], schema)
+    e = spark.createDataFrame([(s, n, a.item(), b if b is None else b.item(), w, side) for s, n, a, b, w, side in events], "symbol string, event_id long, t0 timestamp_ntz, t1 timestamp_ntz, trgt double, side double")
+    want = {}
+    for s, n, a, b, w, side in events:
+        path = [(ts, (x / first[s, a] - 1) * (1.0 if side is None else side)) for q, ts, _, x in closes if q == s and ts >= a and (b is None or ts <= b)]
+        up, down = [ts for ts, r in path if r > 1.0 * w], [ts for ts, r in path if r < -(1.0 if side is None else 0.5) * w]
+        want[n] = (min(up).item() if up else None, min(down).item() if down else None)
+    got = {r["event_id"]: (r["pt_at"], r["sl_at"]) for r in labeling.triple_barrier(e, close, 1.0, 0.5).collect()}
+    assert got == want
+
+
+def test_reserve_bets_refines_a_grid_that_holds_no_mixture(spark):
+    from tickforge.operators import bet_sizing
+
+    assert bet_sizing.fit_mixtures(spark, [109.28, 12094.5, 1.34299e6, 1.49372e8, 1.66316e10], 4, epsilon=0.02, variant=1, max_iter=200).count() == 0
+    e = spark.sql("""select symbol, timestamp_ntz '2024-01-01' + make_dt_interval(0, 0, id) as t0, timestamp_ntz '2024-01-02' + make_dt_interval(0, 0, id) as t1,
+      if(id % 3 = 0, -1.0D, 1.0D) as side from (select 'a' as symbol, cast(id as int) as id from range(60))""")
+    got = bet_sizing.reserve_sizes(e, runs=2, epsilon=0.02, variant=1, max_iter=200).collect()
+    assert len(got) == 60

@@ -1,7 +1,7 @@
 """Labels: barriers, fixed horizons, excess returns, trends, tail sets and chart patterns.
 
 close tables are symbol, ts, seq, close; panels are ts, asset, price; events are symbol, event_id, t0, t1,
-trgt and more. Interval joins run over time slots, so that a row meets only events of its slots.
+trgt and more.
 """
 
 from __future__ import annotations
@@ -12,8 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickforge.functions.rolling import full, ratio
-
-SLOT = 86_400
+from tickforge.operators.fold import fold, same_key
 
 #: Published flag templates, upper row first. The bearish ones are these upside down.
 LEIGH_BULL = [
@@ -45,20 +44,18 @@ TEMPLATES = {
 }
 
 
-def slot_of(ts, size: int = SLOT) -> Column:
-    return F.floor(F.unix_micros(F.col(ts).cast("timestamp") if isinstance(ts, str) else ts.cast("timestamp")) / (size * 1_000_000))
-
-
 def first_at_or_after(events: DataFrame, close: DataFrame, at: str, out: dict[str, str]) -> DataFrame:
     """Forward as-of join: adds to each event the columns ``out`` (name -> close's column) of the first row with ts >= at.
 
-    One union and one ordered window per symbol, with no join.
+    One union and one ordered window per symbol, with no join. The window runs backwards: a frame to its
+    unbounded end is evaluated anew for each row. Of rows at one time, the one with the least seq is taken.
     """
     e = events.select("*", F.col(at).alias("_at"), F.lit(0).alias("_is_close"), F.lit(None).cast("struct<" + ",".join(f"{n}:{dict(close.dtypes)[c]}" for n, c in out.items()) + ">").alias("_v"))
-    empty = [F.col(c) if c == "symbol" else F.lit(None).cast(t).alias(c) for c, t in events.dtypes]
-    c = close.select(*empty, F.col("ts").alias("_at"), F.lit(1).alias("_is_close"), F.struct(*[F.col(c).alias(n) for n, c in out.items()]).alias("_v")) if "ts" not in events.columns else close.withColumn("_at", F.col("ts")).withColumn("_v", F.struct(*[F.col(c).alias(n) for n, c in out.items()])).select(*empty, "_at", F.lit(1).alias("_is_close"), "_v")
-    w = Window.partitionBy("symbol").orderBy("_at", "_is_close").rowsBetween(0, Window.unboundedFollowing)
-    both = e.unionByName(c).withColumn("_next", F.first("_v", ignorenulls=True).over(w)).where("_is_close = 0")
+    back = F.col("seq") if "seq" in close.columns else F.lit(0)
+    rows = close.select(F.col("symbol").alias("_s"), F.col("ts").alias("_at"), back.cast("long").alias("_seq"), F.struct(*[F.col(c).alias(n) for n, c in out.items()]).alias("_v"))
+    c = rows.select(*[F.col("_s").alias(c) if c == "symbol" else F.lit(None).cast(t).alias(c) for c, t in events.dtypes], "_at", F.lit(1).alias("_is_close"), "_v", "_seq")
+    w = Window.partitionBy("symbol").orderBy(F.desc_nulls_last("_at"), F.desc("_is_close"), F.desc("_seq")).rowsBetween(Window.unboundedPreceding, 0)
+    both = e.withColumn("_seq", F.lit(None).cast("long")).unionByName(c).withColumn("_next", F.last("_v", ignorenulls=True).over(w)).where("_is_close = 0")
     return both.select(*events.columns, *[F.when(F.col("_at").isNotNull(), F.col(f"_next.{n}")).alias(n) for n in out])
 
 
@@ -69,26 +66,101 @@ def add_vertical_barrier(events: DataFrame, close: DataFrame, days=0, hours=0, m
     return first_at_or_after(e, close, "_until", {"t1": "ts"}).drop("_until").where("t1 is not null")
 
 
-def triple_barrier(events: DataFrame, close: DataFrame, pt: float, sl: float, min_ret: float = 0.0, slot: int = SLOT) -> DataFrame:
+def _levels(p0, trgt, side, width, above: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(sign, level): the return from p0 is past ``width`` targets just where sign * close >= level, a level of NaN never.
+
+    The level is found by bisection over the bits of doubles, so that it agrees with the division to the last bit.
+    """
+    def past(c):
+        r = (c / p0 - 1) * side
+        bound = width * trgt if above else -width * trgt
+        return ((r > bound) | np.isnan(r)) & ~np.isnan(bound) if above else (r < bound) | (np.isnan(bound) & ~np.isnan(r))  # a NaN is above all numbers
+
+    flip = lambda b: b ^ ((b >> 63) & np.int64(0x7FFF_FFFF_FFFF_FFFF))  # noqa: E731  bits in the order of the numbers, and back
+    rises = np.where(side < 0, -1.0, 1.0) * np.where(p0 < 0, -1.0, 1.0)
+    sign = rises if above else -rises
+    with np.errstate(all="ignore"):
+        low, high = (flip(np.full(len(p0), x).view(np.int64)) for x in (-np.inf, np.inf))
+        never = ~past(sign * np.inf) & ~past(sign * np.finfo(float).max)
+        for _ in range(65):
+            mid = (low >> 1) + (high >> 1) + (low & high & 1)
+            hit = past(sign * flip(mid).view(float))
+            low, high = np.where(hit | (low >= high), low, mid + 1), np.where(hit & (low < high), mid, high)
+    return sign, np.where(never | (width <= 0), np.nan, flip(high).view(float))
+
+
+class _Touches:
+    """The first close past each open event's upper (0) and lower (1) barrier. Open events wait in two heaps by the
+    close that reaches them, one for rising and one for falling closes, so a close meets only events that it ends."""
+
+    def __init__(self):
+        self.heaps, self.limit, self.n = {1.0: [], -1.0: []}, 1024, 0
+
+    def feed(self, key, c):
+        from heapq import heapify, heappop, heappush
+
+        at, to = (c[k].astype("datetime64[us]").astype(np.int64).tolist() for k in ("_at", "_to"))
+        is_close, close, ids = c["_is_close"].tolist(), c["close"].astype(float).tolist(), c["_id"]
+        opens, barriers = np.flatnonzero(c["_is_close"] == 0), []
+        for which, name in enumerate(("_upper", "_lower")):
+            sign, level = np.ones(len(at)), np.full(len(at), np.nan)
+            sign[opens], level[opens] = _levels(*(c[k][opens].astype(float) for k in ("_p0", "trgt", "_side", name)), which == 0)
+            barriers.append((which, sign.tolist(), level.tolist()))
+        hits = []
+        for k, now in enumerate(at):
+            if not is_close[k]:
+                for which, sign, level in barriers:
+                    if level[k] == level[k]:
+                        self.n += 1
+                        heappush(self.heaps[sign[k]], (level[k], self.n, to[k], which, ids[k]))
+                continue
+            x = close[k]
+            for sign, heap in self.heaps.items():
+                if x != x:  # above all numbers: past every upper barrier
+                    hits += [(i, w, now) for _, _, t, w, i in heap if w == 0 and t >= now]
+                    heap[:] = [h for h in heap if h[3] == 1]
+                    heapify(heap)
+                while heap and heap[0][0] <= sign * x:
+                    _, _, t, w, i = heappop(heap)
+                    if t >= now:
+                        hits.append((i, w, now))
+            if sum(map(len, self.heaps.values())) > self.limit:  # without those whose time is up
+                for heap in self.heaps.values():
+                    heap[:] = [h for h in heap if h[2] >= now]
+                    heapify(heap)
+                self.limit = max(1024, 2 * sum(map(len, self.heaps.values())))
+        ids, which, when = zip(*hits) if hits else ((), (), ())
+        return {"symbol": same_key(key, len(hits)), "_id": np.array(ids, object), "which": np.array(which, np.int32), "at": np.array(when, np.int64).view("datetime64[us]")}
+
+
+def triple_barrier(events: DataFrame, close: DataFrame, pt: float, sl: float, min_ret: float = 0.0) -> DataFrame:
     """events (symbol, event_id, t0, t1, trgt, side) with trgt > min_ret, t1 the first barrier touched and its kind.
 
     The upper barrier is at return > pt * trgt, the lower at return < -sl * trgt; a width of 0 turns one
-    off. Without a side (null) both use pt. A null t1 means the last close. Each event is spread over
-    the time slots of its interval, and joined with the closes of these slots by equality.
+    off. Without a side (null) both use pt. A null t1 means the last close. One ordered fold over events and
+    closes of a symbol, which holds its open events.
     """
     e = events.where(F.col("trgt") > min_ret)
     last = close.groupBy("symbol").agg(F.max("ts").alias("_end"))
     e = e.join(last, "symbol").withColumn("_to", F.coalesce("t1", "_end"))
     start = close.groupBy("symbol", "ts").agg(F.max_by("close", "seq").alias("_p0")).withColumnRenamed("ts", "t0")
     e = e.join(start, ["symbol", "t0"])
-    path = e.select("symbol", "event_id", "t0", "_to", "trgt", "side", "_p0", F.explode(F.sequence(slot_of("t0", slot), F.greatest(slot_of("t0", slot), slot_of("_to", slot)))).alias("_slot"))
-    c = close.select("symbol", "ts", "close", slot_of("ts", slot).alias("_slot"))
-    met = path.join(c, ["symbol", "_slot"]).where("ts >= t0 and ts <= _to")
-    r = (F.col("close") / F.col("_p0") - 1) * F.coalesce("side", F.lit(1.0))
+    kinds = dict(close.dtypes)
     lower = F.when(F.col("side").isNull(), F.lit(float(pt))).otherwise(F.lit(float(sl)))
-    touched = met.groupBy("symbol", "event_id").agg(
-        F.min(F.when((F.lit(float(pt)) > 0) & (r > pt * F.col("trgt")), F.col("ts"))).alias("pt_at"),
-        F.min(F.when((lower > 0) & (r < -lower * F.col("trgt")), F.col("ts"))).alias("sl_at"),
+    number = lambda x: x.cast("double")
+    opened = e.where("_p0 is not null").select(
+        "symbol", F.col("t0").cast(kinds["ts"]).alias("_at"), F.lit(0).alias("_is_close"), F.col("event_id").cast("string").alias("_id"), F.col("_to").cast(kinds["ts"]).alias("_to"),
+        number(F.col("_p0")).alias("_p0"), number(F.col("trgt")).alias("trgt"), number(F.coalesce("side", F.lit(1.0))).alias("_side"), F.lit(float(pt)).alias("_upper"), lower.alias("_lower"),
+        F.lit(0.0).alias("close"),
+    )
+    none = F.lit(0.0)
+    closes = close.where("close is not null").select(
+        "symbol", F.col("ts").alias("_at"), F.lit(1).alias("_is_close"), F.lit("").alias("_id"), F.col("ts").alias("_to"),
+        *[none.alias(c) for c in ("_p0", "trgt", "_side", "_upper", "_lower")], number(F.col("close")).alias("close"),
+    )
+    met = fold(opened.unionByName(closes), "symbol", ["_at", "_is_close"], _Touches, f"symbol {kinds['symbol']}, _id string, which int, at {kinds['ts']}")
+    touched = met.groupBy("symbol", F.col("_id").cast(dict(events.dtypes)["event_id"]).alias("event_id")).agg(
+        F.min(F.when(F.col("which") == 0, F.col("at"))).alias("pt_at"), F.min(F.when(F.col("which") == 1, F.col("at"))).alias("sl_at"),
     )
     e = e.join(touched, ["symbol", "event_id"], "left").withColumn("t1", F.least("t1", "pt_at", "sl_at"))
     return e.select("symbol", "event_id", "t0", "t1", "trgt", "side", F.lit(float(pt)).alias("pt"), F.lit(float(sl)).alias("sl"), "pt_at", "sl_at")
