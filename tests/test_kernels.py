@@ -172,3 +172,18 @@ def test_sadf_grows_with_a_bubble():
     x, y, _ = breaks.design(calm, "quadratic", 2, True)
     beta, var = breaks.ols(x, y)
     assert np.allclose(beta, np.linalg.lstsq(x, y, rcond=None)[0]) and (np.diag(var) > 0).all()
+
+
+def test_bootstrap_of_intervals_draws_as_from_the_matrix():
+    from tickforge.operators import sampling
+
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        a = np.sort(rng.integers(0, 60, 80))
+        b = a + rng.integers(0 if seed % 2 else 1, 12, 80)
+        ind = ((np.arange(72)[:, None] >= a) & (np.arange(72)[:, None] < b)).astype(float)
+        if seed % 2:  # labels without bars are drawn by neither
+            a[0], b[0] = 0, 3
+            a, b = a[np.argsort(a, kind="stable")], b[np.argsort(a, kind="stable")]
+            ind = ((np.arange(72)[:, None] >= a) & (np.arange(72)[:, None] < b)).astype(float)
+        assert sampling.bootstrap_intervals(a, b, seed=seed) == sampling.sequential_bootstrap(ind, seed=seed)

@@ -101,6 +101,39 @@ def sequential_bootstrap(ind: np.ndarray, size: int | None = None, warmup: list[
     return drawn
 
 
+def bootstrap_intervals(a: np.ndarray, b: np.ndarray, size: int | None = None, warmup: list[int] | None = None, seed: int = 0) -> list[int]:
+    """The draws of sequential_bootstrap for labels that cover the bars a to b - 1, sorted by a, without a matrix.
+
+    A draw changes the uniqueness of the labels that overlap it alone; probabilities are summed by blocks.
+    """
+    n, rng, drawn, warmup = len(a), np.random.default_rng(seed), [], list(warmup or [])
+    reach, length, block = np.maximum.accumulate(b), np.maximum(b - a, 1), max(16, int(n**0.5))
+    inverse, p = np.ones(int(reach[-1])), (b > a).astype(float)
+    starts = np.arange(0, n, block)
+    sums, seen = np.add.reduceat(p, starts), np.zeros(len(inverse))
+    while len(drawn) < (size or n):
+        if warmup:
+            k = warmup.pop(0)
+        else:
+            total = np.cumsum(sums)
+            u = rng.random() * total[-1]
+            j = min(int(np.searchsorted(total, u, "right")), len(sums) - 1)
+            inside = np.cumsum(p[starts[j]: starts[j] + block])
+            k = int(starts[j]) + min(int(np.searchsorted(inside, u - (total[j - 1] if j else 0.0), "right")), len(inside) - 1)
+        drawn.append(k)
+        if a[k] == b[k]:
+            continue
+        seen[a[k]: b[k]] += 1
+        inverse[a[k]: b[k]] = 1 / (1 + seen[a[k]: b[k]])
+        low, high = int(np.searchsorted(reach, a[k], "right")), int(np.searchsorted(a, b[k], "left"))
+        first = a[low]
+        upto = np.r_[0.0, np.cumsum(inverse[first: reach[high - 1]])]
+        p[low:high] = (upto[b[low:high] - first] - upto[a[low:high] - first]) / length[low:high]
+        i, j = low // block, (high - 1) // block + 1
+        sums[i:j] = np.add.reduceat(p[i * block: j * block], starts[i:j] - i * block)
+    return drawn
+
+
 def bootstrap_by_symbol(labels: DataFrame, close: DataFrame, seed: int = 0) -> DataFrame:
     """symbol, draw, label_id: a sequential bootstrap of each symbol's labels, its bars being its closes."""
     def draw(key, left, right):
@@ -108,8 +141,12 @@ def bootstrap_by_symbol(labels: DataFrame, close: DataFrame, seed: int = 0) -> D
 
         left = left.sort_values(["t0", "label_id"])
         ids = left["label_id"].to_numpy()
-        ind = indicator_matrix(left["t0"].to_numpy("datetime64[us]"), left["t1"].to_numpy("datetime64[us]"), right["ts"].to_numpy("datetime64[us]"))
-        got = sequential_bootstrap(ind, seed=seed) if len(ids) else []
+        t0, t1, bars = left["t0"].to_numpy("datetime64[us]"), left["t1"].to_numpy("datetime64[us]"), right["ts"].to_numpy("datetime64[us]")
+        at = np.unique(np.concatenate([bars, t0, t1]))
+        at = at[~np.isnat(at)]
+        a = np.searchsorted(at, t0, "left")
+        b = np.where(np.isnat(t1), a, np.maximum(a, np.searchsorted(at, t1, "right")))
+        got = bootstrap_intervals(a, b, seed=seed) if len(ids) else []
         return pd.DataFrame({"symbol": [key[0]] * len(got), "draw": range(len(got)), "label_id": ids[got] if got else []})
 
     return labels.groupBy("symbol").cogroup(close.select("symbol", "ts").groupBy("symbol")).applyInPandas(draw, "symbol string, draw long, label_id long")
