@@ -121,11 +121,20 @@ def test_triple_barrier_by_brute_force(spark):
     assert got == want
 
 
-def test_reserve_bets_refines_a_grid_that_holds_no_mixture(spark):
+def test_reserve_bets_refines_a_grid_that_holds_no_mixture(spark, monkeypatch):
     from tickforge.operators import bet_sizing
 
+    tried = []
+
+    def fits(spark, moments, runs, epsilon, **how):
+        tried.append(epsilon)
+        found = [] if epsilon > 0.001 else [(-1.0, 4.0, 2.0, 1.0, 0.4, 0.0)] * runs
+        return spark.createDataFrame(found, "mu1 double, mu2 double, s1 double, s2 double, p double, error double")
+
     assert bet_sizing.fit_mixtures(spark, [109.28, 12094.5, 1.34299e6, 1.49372e8, 1.66316e10], 4, epsilon=0.02, variant=1, max_iter=200).count() == 0
-    e = spark.sql("""select symbol, timestamp_ntz '2024-01-01' + make_dt_interval(0, 0, id) as t0, timestamp_ntz '2024-01-02' + make_dt_interval(0, 0, id) as t1,
-      if(id % 3 = 0, -1.0D, 1.0D) as side from (select 'a' as symbol, cast(id as int) as id from range(60))""")
+    monkeypatch.setattr(bet_sizing, "fit_mixtures", fits)
+    e = spark.sql("""select timestamp_ntz '2024-01-01' + make_dt_interval(0, 0, id) as t0, timestamp_ntz '2024-01-02' + make_dt_interval(0, 0, id) as t1,
+      if(id % 3 = 0, -1.0D, 1.0D) as side from (select cast(id as int) as id from range(60))""")
     got = bet_sizing.reserve_sizes(e, runs=2, epsilon=0.02, variant=1, max_iter=200).collect()
-    assert len(got) == 60
+    assert tried == pytest.approx([0.02, 0.002, 0.0002])
+    assert len(got) == 60 and all(r["bet_size"] is not None for r in got)
