@@ -362,6 +362,33 @@ def test_line_dedup_edges(spark):
     assert sorted(kept) in (["", lines[0]], ["", lines[0]][::-1]) and got[3, 7]["_lines"] == 2 and got[3, 7]["_dropped"] == 1
 
 
+@pytest.mark.parametrize("long", [0, 40])
+def test_line_dedup_of_long_lines_along_the_band(spark, long, monkeypatch):
+    monkeypatch.setattr(line_dedup, "LONG", long)
+    rng = np.random.default_rng(long)
+    base = [" ".join(words(int(rng.integers(2, 30)), k)) for k in range(6)]
+    texts = [edited(base[int(rng.integers(len(base)))], int(rng.integers(0, 7)), rng) for _ in range(60)]
+    got = line_dedup.dedup_lines(documents(spark, texts)).toPandas().sort_values("doc_id")
+    assert got["text"].tolist() == brute_lines(texts)
+
+
+def test_line_dedup_makes_no_rows_of_far_copies(spark, monkeypatch):
+    """Copies of one line that are more than four edits apart meet on many keys, but are no pairs to be looked up."""
+    rng = np.random.default_rng(6)
+    base, copies = " ".join(words(120, 5)), []
+    for _ in range(60):
+        c = list(base)
+        for at in rng.choice(len(c) // 2 - 1, 4, replace=False):  # swaps leave all tallies as they are
+            c[2 * at], c[2 * at + 1] = c[2 * at + 1], c[2 * at]
+        copies.append("".join(c))
+    handed, near = [], line_dedup.near
+    monkeypatch.setattr(line_dedup, "HOT", 4)
+    monkeypatch.setattr(line_dedup, "near", lambda found, *rest: handed.append(found.count()) or near(found, *rest))
+    got = line_dedup.dedup_lines(documents(spark, copies)).toPandas().sort_values("doc_id")
+    assert got["text"].tolist() == brute_lines(copies)
+    assert sum(handed) < 400, handed  # of 1770 pairs
+
+
 def test_line_dedup_keeps_many_lines_and_repeated_rows(spark):
     text = "\n".join(f"line number {k} of a long document {k * k}" for k in range(0, 3000, 37))
     docs = documents(spark, [text, text]).unionByName(documents(spark, [text]))
