@@ -1,5 +1,7 @@
 """Feature importance, fingerprints, bagging, part maps: on data whose structure is known."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -172,3 +174,20 @@ def test_shuffled_scores_are_those_of_shuffled_tables(data):
             want.append(importance.scored(model, importance.assembled(left.join(right, "_k"), names), "y", scoring))
         got = importance.shuffled_scores(model, df, names, subsets, "y", scoring, 42)
         assert got == pytest.approx(want)
+
+
+def test_weights_by_return_sweeps_once(spark):
+    from datetime import datetime, timedelta
+
+    at = lambda k: datetime(2024, 1, 1) + timedelta(minutes=k)
+    close = spark.createDataFrame([("a", at(k // 2), k, 10.0 + k * k % 7) for k in range(12)], "symbol string, ts timestamp_ntz, seq long, close double")
+    labels = spark.createDataFrame([("a", 1, at(0), at(2)), ("a", 1, at(0), at(2)), ("a", 2, at(1), at(5)), ("a", 3, at(3), None)], "symbol string, label_id long, t0 timestamp_ntz, t1 timestamp_ntz")
+    out = sampling.weights_by_return(close, labels)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 5
+    r = [0.0] + [math.log((10.0 + k * k % 7) / (10.0 + (k - 1) * (k - 1) % 7)) for k in range(1, 12)]
+    spans = [(0, 2), (0, 2), (1, 5), (3, 5)]
+    n = [sum(a <= k // 2 <= b for a, b in spans) for k in range(12)]
+    raw = [abs(sum(r[k] / n[k] for k in range(12) if a <= k // 2 <= b)) for a, b in spans]
+    got = sorted((x["label_id"], x["weight"]) for x in out.collect())
+    assert [k for k, _ in got] == [1, 1, 2, 3]
+    assert np.allclose([w for _, w in got], [4 * x / sum(raw) for x in raw])

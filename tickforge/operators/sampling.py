@@ -56,10 +56,18 @@ def average_uniqueness(close: DataFrame, labels: DataFrame, slot: int | None = N
 
 
 def weights_by_return(close: DataFrame, labels: DataFrame, slot: int | None = None) -> DataFrame:
-    """symbol, label_id, weight: |sum of log returns over concurrency|, scaled so that a symbol's weights sum to their number."""
-    c = close.select("symbol", "ts", log_return(F.col("close"), ordered()).alias("r"))
-    rows = concurrency(close, labels, slot).join(c, ["symbol", "ts"]).withColumn("part", F.try_divide("r", "n"))
-    e = _between(_closed(labels, close).select("symbol", "label_id", "t0", "t1"), rows, "part", "r", slot)
+    """symbol, label_id, weight: |sum of log returns over concurrency|, scaled so that a symbol's weights sum to their number.
+
+    One sweep over closes, starts and ends: the return that a label has is the sum at its end less the one before its start.
+    """
+    edge = lambda c, kind, step: F.struct(F.col(c).alias("ts"), F.lit(kind).alias("k"), F.lit(step).alias("s"))
+    e = _closed(labels, close).select("symbol", "label_id", "t0", "t1").withColumn("_row", F.monotonically_increasing_id())
+    e = e.select("symbol", "label_id", "_row", F.inline(F.array(edge("t0", 0, 1), edge("t1", 2, -1))))
+    c = close.select("symbol", "ts", F.lit(1).alias("k"), F.lit(0).alias("s"), log_return(F.col("close"), ordered()).alias("r"))
+    both = running_sum(c.unionByName(e, allowMissingColumns=True), ["symbol"], "ts", ["k"], {"n": "s"}, slot)
+    both = both.withColumn("part", F.when(F.col("k") == 1, F.try_divide("r", "n")))
+    both = running_sum(both, ["symbol"], "ts", ["k"], {"sum": "part"}, slot).where("k <> 1")
+    e = both.groupBy("symbol", "label_id", "_row").agg(F.sum(F.when(F.col("k") == 2, F.col("sum")).otherwise(-F.col("sum"))).alias("r_sum"))
     all_ = Window.partitionBy("symbol")
     x = F.abs("r_sum")
     return e.select("symbol", "label_id", (x * F.count(F.lit(1)).over(all_) / F.nullif(F.sum(x).over(all_), F.lit(0.0))).alias("weight"))
