@@ -622,3 +622,28 @@ def test_components(spark, monkeypatch, few):
     got = components.components(spark.createDataFrame(links, "a long, b long")).collect()
     assert sorted((r["id"], r["component"]) for r in got) == sorted(label.items())
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_divide_skip_reads_short_long_lists_at_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    lists = [np.unique(rng.integers(0, 300, rng.integers(1, 260))) for _ in range(200)]
+    probes, probe = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda *a, **b: probes.append(1) or probe(*a, **b))
+    for need in (60, 90, 120):
+        probes.clear()
+        items, counts = ngram_join.divide_skip(lists, need, need - 1)
+        times = np.bincount(np.concatenate(lists), minlength=300)
+        assert items.tolist() == np.flatnonzero(times >= need).tolist()
+        assert counts.tolist() == times[times >= need].tolist()
+        assert len(probes) <= 1  # it was one for each of the long lists
+
+
+def test_workers_give_memory_back(monkeypatch):
+    import pyarrow as pa
+
+    from tickforge.llm import _common
+
+    freed = []
+    monkeypatch.setattr(pa, "default_memory_pool", lambda: type("Pool", (), {"release_unused": lambda self: freed.append(1)})())
+    assert list(_common.lean(lambda batches: (2 * b for b in batches))([1, 2])) == [2, 4]
+    assert freed

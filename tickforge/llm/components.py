@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickforge.llm._common import bounded, counted, materialize
+from tickforge.llm._common import bounded, counted, lean, materialize
 
 #: At most this many links are closed in one task; the labels are the same either way.
 FEW = 200_000
@@ -46,7 +46,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges, number = counted(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     if number <= FEW:
-        return edges.repartition(1).mapInArrow(_closed_in_one, "id long, component long")
+        return edges.repartition(1).mapInArrow(lean(_closed_in_one), "id long, component long")
     while True:
         for large in (True, False):
             both = edges.select("u", "v")

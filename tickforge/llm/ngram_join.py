@@ -41,12 +41,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickforge.llm._common import BROADCAST_ROWS, counted, materialize, parallelism, read
+from tickforge.llm._common import BROADCAST_ROWS, counted, lean, materialize, parallelism, read
 from tickforge.llm.components import components
 from tickforge.llm.vectors import each_group
 
 WIDTH, PERCENT, SHORT = 5, 75, 8
 SLACK = 20  # k is 1 + n // SLACK
+#: Items of a list from which it is probed rather than read.
+PROBE = 4096
 CHUNK, PART_POSTINGS, SEARCH_TOKENS = 1 << 20, 500_000, 1 << 16
 #: One class in so many is looked at to find shingles of very many texts, and how many of these make one heavy.
 SAMPLED, HEAVY = 64, 64
@@ -166,7 +168,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
                 c.append(classes_of(tokens, lengths))
             yield _arrow(doc_id=batch.column(0), x=batch.column(1), n=np.concatenate(n).astype(np.int64), c=np.concatenate(c))
 
-    return docs.select(F.col("doc_id").cast("long"), text_key().alias("x"), "text").mapInArrow(sizes, "doc_id long, x long, n long, c long")
+    return docs.select(F.col("doc_id").cast("long"), text_key().alias("x"), "text").mapInArrow(lean(sizes), "doc_id long, x long, n long, c long")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -187,7 +189,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     wanted, number = counted(wanted)
     wanted = F.broadcast(wanted) if number <= 10 * BROADCAST_ROWS else wanted  # rows of two longs
     texts = docs.select(text_key().alias("x"), "text").join(wanted, "x")
-    sets = texts.select("text", "c").mapInArrow(packed, "c long, n long, tokens binary")
+    sets = texts.select("text", "c").mapInArrow(lean(packed), "c long, n long, tokens binary")
     return sets.groupBy("c").agg(F.min("n").alias("n"), F.min("tokens").alias("tokens"))
 
 
@@ -322,15 +324,15 @@ def index_pass(source: DataFrame, postings: int, whole: bool) -> DataFrame:
             yield _arrow(token=token.view(np.int64), n=n.astype(np.int64))
 
     few = source.where(F.pmod(F.xxhash64("c" if whole else "text", F.lit(1)), F.lit(SAMPLED)) == 0)
-    seen = few.mapInArrow(sampled, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > HEAVY)
+    seen = few.mapInArrow(lean(sampled), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > HEAVY)
     # At most BROADCAST_ROWS tokens can be this frequent.
     seen = materialize(seen)
     total = seen.agg(F.sum("n")).first()[0] or 0
     often = seen.where(F.col("n") > total // BROADCAST_ROWS).select("token").toArrow().column(0).to_numpy() if total else np.zeros(0, np.int64)
     heavy = spark.sparkContext.broadcast(np.sort(often.astype(np.int64).view(np.uint64)))
 
-    dealt = source.mapInArrow(lambda batches: _postings(_posted(runs_of(batches), parts, whole, heavy.value)), POSTINGS).repartition(parts, "part")
-    return dealt.mapInArrow(lambda batches: _lists(batches, heavy.value), FOUND)
+    dealt = source.mapInArrow(lean(lambda batches: _postings(_posted(runs_of(batches), parts, whole, heavy.value))), POSTINGS).repartition(parts, "part")
+    return dealt.mapInArrow(lean(lambda batches: _lists(batches, heavy.value)), FOUND)
 
 
 def _columns(n, whole):
@@ -370,26 +372,33 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         return each_group(batches, 2, one)
 
     parts = parallelism(pairs.sparkSession)
-    return both.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt").mapInArrow(check, "a long, b long")
+    return both.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt").mapInArrow(lean(check), "a long, b long")
 
 
 def divide_skip(lists: list[np.ndarray], need: int, long_lists: int) -> tuple[np.ndarray, np.ndarray]:
     """(items, counts): every item on at least ``need`` of the sorted lists.
 
-    All but the longest lists are merged, by a heap, or in bulk by one sort when they are large; an item
-    seen there at least need - long_lists times is looked up in the long lists by binary search.
+    All but the longest lists are merged, by a heap, or in bulk when they are large; an item seen there at
+    least need - long_lists times is looked up in the long lists by binary search. Long lists of too few
+    items for that to pay are counted in one pass.
     """
     lists = sorted(lists, key=len)
     cut = len(lists) - min(long_lists, need - 1, len(lists))
-    short = lists[:cut]
+    short, far = lists[:cut], lists[cut:]
     if sum(map(len, short)) > 256:
-        items, counts = np.unique(np.concatenate(short), return_counts=True)
+        items, counts = tallied(np.concatenate(short))
     else:
         merged = [(item, sum(1 for _ in run)) for item, run in itertools.groupby(heapq.merge(*(x.tolist() for x in short)))]
         items, counts = (np.array(v, np.int64) for v in (zip(*merged) if merged else ((), ())))
-    left = len(lists) - cut
-    for x in lists[cut:]:
-        some = counts >= need - left  # what can still reach the overlap
+    some = counts >= need - len(far)  # what can still reach the overlap
+    items, counts = items[some], counts[some]
+    if len(items) and far and sum(map(len, far)) < PROBE * len(far):
+        seen, times = tallied(np.concatenate(far))
+        at = np.minimum(np.searchsorted(seen, items), len(seen) - 1)
+        counts, far = counts + np.where(seen[at] == items, times[at], 0), []
+    left = len(far)
+    for x in far:
+        some = counts >= need - left
         items, counts = items[some], counts[some]
         if not len(items):
             break
@@ -399,6 +408,15 @@ def divide_skip(lists: list[np.ndarray], need: int, long_lists: int) -> tuple[np
     return items[counts >= need], counts[counts >= need]
 
 
+def tallied(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct items of x in order, and how often each occurs; small items without a sort."""
+    if len(x) and x.min() >= 0 and x.max() < 4 * len(x):
+        counts = np.bincount(x)
+        items = np.flatnonzero(counts)
+        return items, counts[items]
+    return np.unique(x, return_counts=True)
+
+
 def direct_search(sets: DataFrame) -> DataFrame:
     """a, b: links that join different components among ``sets`` (c, component, n, tokens), by searches in groups.
 
@@ -416,7 +434,7 @@ def direct_search(sets: DataFrame) -> DataFrame:
             yield _arrow(c=np.repeat([r["c"] for r in rows], size).astype(np.int64), n=np.repeat(size, size).astype(np.int64), token=np.concatenate(token) if token else np.zeros(0, np.int64))
 
     sets = materialize(sets.select("c", "component", "n", "tokens"))
-    rows = materialize(sets.select("c", "n", "tokens").mapInArrow(exploded, "c long, n long, token long"))
+    rows = materialize(sets.select("c", "n", "tokens").mapInArrow(lean(exploded), "c long, n long, token long"))
     firsts = rows.groupBy("token").agg(F.min("c").alias("first"))
     rows = rows.join(firsts, "token")
     leading = Window.partitionBy("c").orderBy("first", "token")
@@ -443,15 +461,17 @@ def direct_search(sets: DataFrame) -> DataFrame:
             order = np.lexsort((owner, flat))
             flat, owner = flat[order], owner[order]
             split = group.column("i")[0].as_py() != group.column("j")[0].as_py()
+            index = {None: (flat, owner)}
+            if split:  # a set meets those of the other block alone
+                index = {b: (flat[block[owner] != b], owner[block[owner] != b]) for b in np.unique(block)}
             parent = np.arange(len(names))
             out = [[], []]
             for q in np.flatnonzero(at != size.argmax()):
+                flat, owner = index[block[q] if split else None]
                 begin, end = np.searchsorted(flat, tokens[q]), np.searchsorted(flat, tokens[q], "right")
                 need = int(required(int(n[q])))
                 items, common = divide_skip([owner[x:y] for x, y in zip(begin, end)], need, need - 1)
                 good = 100 * common >= PERCENT * (n[q] + n[items] - common)
-                if split:
-                    good &= block[items] != block[q]
                 for k in items[good]:
                     x, y = root(parent, at[q]), root(parent, at[k])
                     if x != y:
@@ -464,7 +484,7 @@ def direct_search(sets: DataFrame) -> DataFrame:
         return each_group(batches, 3, one)
 
     parts = parallelism(sets.sparkSession)
-    return groups.repartition(parts, "first", "i", "j").sortWithinPartitions("first", "i", "j").mapInArrow(find, "a long, b long")
+    return groups.repartition(parts, "first", "i", "j").sortWithinPartitions("first", "i", "j").mapInArrow(lean(find), "a long, b long")
 
 
 def root(parent: np.ndarray, k: int) -> int:
