@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickforge.llm._common import Shared, read
+from tickforge.llm._common import Shared, lean, read
 
 ORDER, SAMPLE, FOLDS = 3, 250, 5
 PAD = b"\n" * ORDER
@@ -69,7 +69,7 @@ def sample_counts(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
     texts = texts.groupBy("lang", "doc_id").agg(F.min("text").alias("text"))  # of rows that share a doc_id, one
     # A language's sample is bounded, and is counted in one task.
-    return texts.select("lang", "text").repartition("lang").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return texts.select("lang", "text").repartition("lang").mapInArrow(lean(_count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 class Model:
@@ -200,7 +200,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                     names=["doc_id", "lang_pred", "score", "bits"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(predict, "doc_id long, lang_pred string, score double, bits double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(predict), "doc_id long, lang_pred string, score double, bits double")
 
 
 def keep_identified(docs: DataFrame, model: Model | None, min_score: float = 0.5) -> DataFrame:
@@ -222,7 +222,7 @@ def keep_identified(docs: DataFrame, model: Model | None, min_score: float = 0.5
                     stays[known] = 1 / np.exp2(np.maximum(least - cost, -1000)).sum(1) >= min_score
                 yield part.filter(pa.array(stays))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.mapInArrow(lean(kept), docs.schema)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,8 @@ read by the tokenizer's own rule, as its special id.
 from __future__ import annotations
 
 import base64
+import functools
+import json
 import zlib
 from collections import Counter
 
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickforge.llm._common import BROADCAST_ROWS, materialize, ranked, read, spread
+from tickforge.llm._common import BROADCAST_ROWS, lean, materialize, ranked, read, spread
 
 CAPACITY, END_ID, TOKENIZER = 1024, 2, "byte_bpe_50k.json"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -38,9 +40,12 @@ def encoder(path: str):
     The same merges are run by tiktoken, three to four times as fast, where the file's twin with
     ranks lies beside it; a text that spells the special token is left to ``tokenizers`` itself.
     """
-    from tokenizers import Tokenizer
+    @functools.cache
+    def whole():  # only where it is needed: it takes much of a worker's memory
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(path)
 
-    whole = Tokenizer.from_file(path)
     twin = path.removesuffix(".json") + ".tiktoken"
     try:
         import public_tokenizers
@@ -50,10 +55,11 @@ def encoder(path: str):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         fast = tiktoken.Encoding("twin", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     except (ImportError, FileNotFoundError):
-        return lambda texts: [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
-    special = [t.content for t in whole.get_added_tokens_decoder().values()]
+        return lambda texts: [e.ids for e in whole().encode_batch(texts, add_special_tokens=False)]
+    with open(path, encoding="utf-8") as file:
+        special = [t["content"] for t in json.load(file).get("added_tokens") or []]
     return lambda texts: [
-        whole.encode(t, add_special_tokens=False).ids if any(s in t for s in special) else fast.encode_ordinary(t) for t in texts
+        whole().encode(t, add_special_tokens=False).ids if any(s in t for s in special) else fast.encode_ordinary(t) for t in texts
     ]
 
 
@@ -77,7 +83,7 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int =
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pieces, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(pieces), PIECES)
 
 
 def _knapsack(lengths: np.ndarray, weights: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
