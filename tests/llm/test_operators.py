@@ -647,3 +647,8 @@ def test_workers_give_memory_back(monkeypatch):
     monkeypatch.setattr(pa, "default_memory_pool", lambda: type("Pool", (), {"release_unused": lambda self: freed.append(1)})())
     assert list(_common.lean(lambda batches: (2 * b for b in batches))([1, 2])) == [2, 4]
     assert freed
+
+
+def test_line_dedup_shuffles_each_text_once(spark):
+    plan = line_dedup.dedup_lines(documents(spark, ["a line", "a line\nanother", None]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "_text" not in plan
