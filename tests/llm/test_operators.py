@@ -649,6 +649,39 @@ def test_workers_give_memory_back(monkeypatch):
     assert freed
 
 
+def test_line_dedup_makes_one_row_of_a_lost_line_of_a_large_list(spark):
+    lines = [f"{'a common start of all of these lines, with number '}{k:02d}" for k in range(40)]
+    once = spark.createDataFrame([(1000 * k + len(x), k, len(x), x, {"_d": k, "_x": k, "_p": 0}) for k, x in enumerate(lines)], "_h long, _h2 int, _n int, _line string, _first struct<_d:long,_x:long,_p:int>")
+    signs = line_dedup.signed(line_dedup.tallied(once))
+    rows = once.select(F.explode(F.array(F.lit(1), F.lit(2)).cast("array<long>")).alias("_k"), "_h", F.lit(True).alias("_live"))
+    lost, far = line_dedup.alike(rows, signs, 4, 5)
+    assert sorted(r["_h2"] for r in lost.collect()) == list(range(1, 40)) and far is None
+
+
+def test_line_dedup_compares_a_list_or_its_refined_lists_whichever_is_less(spark):
+    lists = spark.createDataFrame([(k, h) for k in (1, 2, 3) for h in range(20)], "_k long, _h long")
+    below = [(10 + h % 4, h, 1) for h in range(20)] + [(20 + c, h, 2) for h in range(20) for c in range(9)]
+    found = line_dedup.finer(lists, spark.createDataFrame(below, "_k long, _h long, _key long"))
+    assert sorted(r["_k"] for r in found.collect()) == [1, 3]
+
+
+def test_line_dedup_screens_pairs_by_tallies_before_it_attaches_texts(spark):
+    rng = np.random.default_rng(0)
+    rows = []
+    for k in range(300):  # pairs within four edits
+        a = "".join(rng.choice(list("etaoinshrdlucmfpgwyb0 .é"), int(rng.integers(20, 600))))
+        b = list(a)
+        for _ in range(4):
+            at = int(rng.integers(len(b)))
+            b[at:at + int(rng.integers(2))] = rng.choice(list("eta0 é"), int(rng.integers(2)))
+        rows.append((k, a, "".join(b)))
+    rows.append((300, "e" * 700 + "t" * 300, "t" * 700 + "e" * 300))
+    pairs = spark.createDataFrame(rows, "k long, a string, b string")
+    side = lambda c: line_dedup.tallied(pairs.select("k", F.col(c).alias("_line"), F.char_length(c).alias("_n"))).toDF("k", *[f"{x}_{c}" for x in ("_line", "_n", *line_dedup.TALLIES)])
+    kept = side("a").join(side("b"), "k").where(line_dedup.moved("_a", "_b", 4))
+    assert sorted(r["k"] for r in kept.collect()) == list(range(300))
+
+
 def test_line_dedup_shuffles_each_text_once(spark):
     plan = line_dedup.dedup_lines(documents(spark, ["a line", "a line\nanother", None]))._jdf.queryExecution().optimizedPlan().toString()
     assert "_text" not in plan
